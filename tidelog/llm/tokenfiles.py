@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tidelog.llm.shared import Scratch, partitions
+from tidelog.llm.shared import Scratch, partitions, worker_cache
 from tidelog.llm.tokens import encoder
 
 END, SEGMENT = 0, 4096
@@ -78,23 +78,26 @@ def read(spark: SparkSession, path: str, doc_id: T.DataType = T.LongType()) -> D
 def crc_combine(a: int, b: int, n: int) -> int:
     """CRC-32 of a text of two parts from the parts' own, n being the second one's bytes.
 
-    Appending zeros is linear in the register, so its matrix is squared along n's bits."""
-    one = [0xEDB88320] + [1 << k for k in range(31)]  # the register after one zero bit
+    Appending zeros is linear in the register, so its matrix to each power of two is kept and used along n's bits."""
+    cache, bits, k = worker_cache(), 8 * n, 0
+    if "crc" not in cache:
+        cache["crc"] = [[0xEDB88320] + [1 << j for j in range(31)]]  # the register after one zero bit
+    powers = cache["crc"]
 
     def times(m, v):
-        out = k = 0
+        out = j = 0
         while v:
             if v & 1:
-                out ^= m[k]
-            v, k = v >> 1, k + 1
+                out ^= m[j]
+            v, j = v >> 1, j + 1
         return out
 
-    bits = 8 * n
     while bits:
+        if k == len(powers):
+            powers.append([times(powers[-1], x) for x in powers[-1]])
         if bits & 1:
-            a = times(one, a)
-        one = [times(one, x) for x in one]
-        bits >>= 1
+            a = times(powers[k], a)
+        bits, k = bits >> 1, k + 1
     return a ^ b
 
 

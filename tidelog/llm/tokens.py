@@ -12,11 +12,13 @@ import numpy as np
 
 from tidelog.llm.shared import worker_cache
 
-PIECES = 400_000
+PIECES = 800_000
 BYTE_FILE, WORD_FILE = "byte_bpe_50k.json", "word_bpe_49k.json"
 _UNSURE_BYTE = re.compile(r" (?:\s|\Z)|[\x1c-\x1f᠎]")
-_UNSURE_WORD = re.compile(r"[\x1c-\x1f᠎]")
-_END = frozenset(".,;:!?")
+#: Characters that Python and the tokenizers' patterns may not agree on as white space.
+_DISPUTED = ("\x1c", "\x1d", "\x1e", "\x1f", "᠎")
+#: Letters, then signs that aren't letters, digits, white space or an apostrophe: two tokens' worth of text.
+_WORD_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def _alphabet() -> dict[int, str]:
@@ -27,6 +29,13 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _single_breaks(text: str) -> bool:
+    """Words with just one space or line break between any two, and none around them."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _DISPUTED):
+        return False
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+
+
 class Encoder(dict):
     """Ids of pieces as little-endian unsigned 32-bit bytes."""
 
@@ -37,24 +46,34 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.lead, self.map = kind, " " if kind == "byte" else "", _alphabet()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.coded = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.line_break = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def letters(self, word: str) -> bytes:
         """A single run of letters goes to the model without the regular expressions around it."""
-        spelled = (self.lead + word).encode().decode("latin-1").translate(self.map)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = word.encode().decode("latin-1").translate(self.map)
+        return b"".join([self.coded[t.id] for t in self.tokenize(spelled)])
 
     def piece(self, p: str) -> bytes:
-        word, end = (p[:-1], p[-1]) if p and p[-1] in _END else (p, "")
-        if not word.isalpha() or max(word) >= "ƀ":
-            return self.whole(self.lead + p)
+        """p begins with a line break if no space stood before it, and is bare otherwise; a
+        zero character in front marks signs that follow letters."""
+        if p[0] == "\0":
+            return self.whole(p[1:])
+        lead, word = ("", p[1:]) if p[0] == "\n" else (self.lead, p)
+        if not word.isalpha():
+            m = _WORD_SIGNS.fullmatch(word)
+            return self[p[: len(p) - len(m[2])]] + self["\0" + m[2]] if m else self.whole(lead + word)
+        if max(word) >= "ƀ":
+            return self.whole(lead + word)
         if self.kind == "word":
             word = word.lower()
             if not word.isalpha():
                 return self.whole(p)
-        return self.letters(word) + (self.whole(end) if end else b"")
+        return self.letters(lead + word)
 
     def __missing__(self, p: str) -> bytes:
         out = self.piece(p)
@@ -68,11 +87,14 @@ class Encoder(dict):
         if not text:
             return b""
         if self.kind == "byte":
+            if _single_breaks(text):
+                lines = [line.split(" ") for line in text.split("\n")]
+                return self.line_break.join([self["\n" + x[0]] + b"".join(map(self.__getitem__, x[1:])) for x in lines])
             if _UNSURE_BYTE.search(text):
                 return self.whole(text)
             first, *rest = text.split(" ")
             return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
-        if _UNSURE_WORD.search(text):
+        if any(c in text for c in _DISPUTED):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
