@@ -1,10 +1,11 @@
 """The operators' queries, each over its whole table."""
 
-from tidelog.llm import decontaminate, neighbours, packing, secrets, sharding, simhash, tokenfiles
+from tidelog.llm import decontaminate, neighbours, packing, repeats, secrets, sharding, simhash, tokenfiles
 
 QUERIES = {
     "op1_token_files": tokenfiles.op1,
     "op4_decontamination": decontaminate.op4,
+    "op5_suffix_dedup": repeats.op5,
     "op6_simhash_near_dedup": simhash.op6,
     "op7_secret_scan": secrets.op7,
     "op8_best_fit_packing": packing.op8,
