@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidelog.llm.shared import Scratch, flat_bytes
 
 LENGTH, GRAM = 200, 64
-MOST = 128  # windows of a run; longer runs are cut
+MOST = LENGTH - GRAM + 1  # windows of a run; only runs with a name at several places are longer, and are cut
 CHUNK = 8 << 20
 
 _U = np.uint64
@@ -127,7 +127,7 @@ def runs_of(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     # The stretch is named by doubled ranks of 64 bytes that tile it, the last one ending with it.
     end = first + long - 1 + LENGTH
     rank = long.astype(_U) * _MIX[0]
-    for k in range(0, LENGTH + MOST, GRAM):
+    for k in range(0, LENGTH + MOST + GRAM, GRAM):
         p = np.minimum(first + k, end - GRAM)
         rank = _name(rank * _MIX[1] + h[p])
     return doc[start], name[start], rank, first - offs[doc[start]], long - 1
