@@ -30,6 +30,8 @@ from tidelog.llm.shared import Scratch, flat_bytes
 LENGTH, GRAM = 200, 64
 MOST = LENGTH - GRAM + 1  # windows of a run; only runs with a name at several places are longer, and are cut
 CHUNK = 8 << 20
+#: Up to so many rows, what is joined to the texts goes to them; beyond, both are dealt by key.
+SENT = 2_000_000
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xDB4F0B9175AE2165, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -233,6 +235,7 @@ def repeated(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: st
     whole = scratch.keep(whole, "whole")
     scratch.drop("open", "groups")
     per_doc = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("rid", "i", "m")).alias("asked"))
+    per_doc = F.broadcast(per_doc) if asked.count() <= SENT else per_doc
     ranks = src.join(per_doc, ["k1", "k2"]).select("text", "asked").mapInArrow(_windows, "h1 long, h2 int, ref long")
     seen = F.count("*").over(W.partitionBy("h1", "h2"))
     hits = ranks.withColumn("c", seen).where("c > 1 or pmod(ref, 2) = 1").select(F.expr("ref div 512").alias("rid"), F.expr("cast(ref div 2 % 256 as int)").alias("off"))
@@ -264,6 +267,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     scratch = Scratch(docs.sparkSession, "repeats")
     spans = repeated(docs, scratch, doc_id, text)
     key = docs.schema[doc_id].dataType.simpleString()
+    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    spans = F.broadcast(spans) if n <= SENT else spans
     joined = _keyed(docs, doc_id, text).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
