@@ -201,6 +201,21 @@ def cover(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _merged(batches):
+    """Spans of window starts that touch become one."""
+    for b in batches:
+        out = []
+        for spans in b.column(2).to_pylist():
+            mine: list[dict] = []
+            for x in sorted(spans, key=lambda x: x["a"]):
+                if mine and x["a"] <= mine[-1]["b"] + 1:
+                    mine[-1]["b"] = max(mine[-1]["b"], x["b"])
+                else:
+                    mine.append(x)
+            out.append(mine)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["k1", "k2", "spans"])
+
+
 def _cut(batches):
     for b in batches:
         texts = b.column(1).cast(pa.large_binary()).to_pylist()
@@ -244,7 +259,7 @@ def repeated(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: st
     placed = hits.groupBy("rid").agg(F.array_sort(F.collect_set("off")).alias("offs")).join(asked, "rid")
     # Neighbouring windows become one span before they travel.
     spans = placed.select("k1", "k2", "i", F.explode(_joined("offs")).alias("x")).select("k1", "k2", (F.col("i") + F.col("x.a")).alias("a"), (F.col("i") + F.col("x.b")).alias("b"))
-    out = scratch.keep(whole.union(spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    out = scratch.keep(whole.union(spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")).mapInArrow(_merged, "k1 long, k2 long, spans array<struct<a:int,b:int>>"), "spans")
     scratch.drop("hits", "asked", "whole")
     return out
 

@@ -124,6 +124,20 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     return fps.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fp", "component_id")
 
 
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose id is the smallest of their group, one row for each id; rows without an
+    id stay only where no member of their group has one, one of them."""
+    scratch = Scratch(df.sparkSession, "keepers")
+    grouped = scratch.keep(group(df, doc_id, text), "grouped")
+    best = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = scratch.keep(best.groupBy("doc_id", "fp").agg(F.count("*").alias("rows")), "best")
+    # An id that came with several texts stays with the smallest fingerprint of its group.
+    one = ids.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.sum("rows").alias("rows")) if ids.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else ids
+    out = df.join(one.select(F.col("doc_id").alias("_best")), F.col(f"`{doc_id}`").eqNullSafe(F.col("_best")), "left_semi")
+    repeated = one.where("rows > 1").limit(1).count() > 0 or one.where("doc_id is null").limit(1).count() > 0
+    return out.dropDuplicates([doc_id]) if repeated else out
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     grouped = group(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
