@@ -46,7 +46,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.lead, self.map = kind, " " if kind == "byte" else "", _alphabet()
-        self.tokenize = self.tokenizer.model.tokenize
+        self.tokenize, self.mark = self.tokenizer.model.tokenize, self.lead.translate(self.map)
         self.coded = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.line_break = self.whole("\n")
 
@@ -76,7 +76,10 @@ class Encoder(dict):
         return self.letters(lead + word)
 
     def __missing__(self, p: str) -> bytes:
-        out = self.piece(p)
+        if p.isascii() and p.isalpha():  # such letters stand for themselves
+            out = b"".join([self.coded[t.id] for t in self.tokenize(self.mark + (p if self.kind == "byte" else p.lower()))])
+        else:
+            out = self.piece(p)
         if len(p) <= 64:
             if len(self) >= PIECES:
                 self.clear()
