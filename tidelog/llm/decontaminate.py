@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.shared import texts_of
+from tidelog.llm.shared import sliced, texts_of
 
 WINDOW, DEPTH, BITS = 8, 3, 21  # three words of 21 bits in each of three sort keys
 BLOCK_BYTES, SHARD_WORDS = 8 << 20, 1 << 20
@@ -161,7 +161,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     names = docs.columns
 
     def work(batches):
-        for b in batches:
+        for b in sliced(batches, len(names) if keep else 1):
             texts = [words(t) for t in texts_of(b.column(len(names) if keep else 1))]
             n = len(texts)
             covered = [np.zeros(len(w) + 1, np.int32) for w in texts]
@@ -209,7 +209,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     key = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             texts = [words(t) for t in texts_of(b.column(1))]
             out: list[list] = [[], [], [], [], []]
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.shared import Scratch
+from tidelog.llm.shared import Scratch, sliced
 
 SAMPLE, FIT_CHARS, BUCKETS, WEIGHT = 1500, 20_000, 1 << 16, 60
 TRUST, HOST_PULL, SUFFIX_PULL, LEAST = 0.9, 20.0, 50.0, 0.5
@@ -108,7 +108,7 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = None, suf
     def work(batches):
         table, logs = _letters(), sent.value
         base = np.array(whole)
-        for b in batches:
+        for b in sliced(batches, n):
             best, conf, ok = [], [], []
             for t, d, p in zip(*(b.column(n + k).to_pylist() for k in range(3))):
                 g = trigrams(t, table)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.shared import Scratch
+from tidelog.llm.shared import Scratch, sliced
 from tidelog.llm.tokens import encoder
 
 CAPACITY, END = 4096, 1
@@ -29,7 +29,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
     def work(batches):
         enc = encoder(tokenizer, "word")
-        for b in batches:
+        for b in sliced(batches, 1):
             cols = [[] for _ in range(5)]
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 coded = memoryview(enc.ids(t or "") + tail)

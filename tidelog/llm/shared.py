@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -67,6 +68,19 @@ def texts_of(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.to_pylist()]
 
 
+def sliced(batches, column: int, most: int = 4 << 20):
+    """Batches cut after about `most` bytes of a text column, which bounds what a worker makes of one.
+
+    A longer text comes by itself, whole."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets of length n + 1) of an Arrow string column; null is empty."""
     col = column.fill_null("") if column.null_count else column

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tidelog.llm.shared import Scratch, partitions, worker_cache
+from tidelog.llm.shared import Scratch, partitions, sliced, worker_cache
 from tidelog.llm.tokens import encoder
 
 END, SEGMENT = 0, 4096
@@ -47,7 +47,7 @@ def write(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             keys, cols, ids, held = [], [[] for _ in range(6)], [], 0
             return pa.RecordBatch.from_arrays(arrays, [f.name for f in out])
 
-        for b in batches:
+        for b in sliced(batches, 1):
             key_type = b.schema.types[0]
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 coded = enc.ids(t or "") + tail
