@@ -71,3 +71,78 @@ def test_whole_table(spark, sf):
     texts = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in simhash.op6(spark, sf).collect()), key=repr)
     assert got == brute_groups(texts)
+
+
+def brute_similar(rows, words=5, least=0.8):
+    """Group number of every row: texts are linked where their shingle sets are similar."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            low, high = sorted((len(x), len(y)))
+            if x == y or (low >= least * high and len(x & y) >= least * len(x | y)):
+                root[find(i)] = find(j)
+    return [find(k) for k in range(len(rows))]
+
+
+def brute_keepers(rows):
+    """Ids that stay: the smallest of each group; none stays only where no member has an id."""
+    best = {}
+    for (i, _), r in zip(rows, brute_similar(rows)):
+        best[r] = i if best.get(r) is None else (best[r] if i is None else min(best[r], i))
+    return sorted(best.values(), key=repr)
+
+
+def copies(rnd, n, length):
+    """Texts and copies of them with words changed all over or a passage changed at one place."""
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randint(*length)))) for k in range(n)]
+    for k in range(2 * n):
+        w = rows[rnd.randrange(n)][1].split()
+        if rnd.random() < 0.5:
+            for _ in range(rnd.randint(0, len(w) // 60)):
+                w[rnd.randrange(len(w))] = "new"
+        else:
+            at = rnd.randrange(len(w))
+            w[at : at + len(w) // rnd.randint(8, 16)] = rnd.choices(vocabulary, k=len(w) // 12)
+        rows.append((1000 + k, " ".join(w)))
+    return rows
+
+
+def test_near_copies_are_found(spark, frame):
+    rows = copies(random.Random(7), 100, (60, 400))
+    want = len(brute_keepers(rows))
+    got = [r.doc_id for r in simhash.deduplicate(frame(rows)).collect()]
+    assert len(got) == len(set(got)) and set(brute_keepers(rows)) <= set(got)  # nothing beyond copies goes
+    assert len(rows) - len(got) >= 0.98 * (len(rows) - want)
+
+
+def test_one_of_each_group_stays(spark, frame):
+    base = copies(random.Random(8), 4, (100, 200))[:4]
+    long = " ".join(f"l{k % 9973}" for k in range(60_000))
+    rows = base + [(10, base[0][1].upper()), (11, base[1][1] + " end"), (12, long), (13, long + " z"), (20, None), (21, ""), (22, " \n\x0b"), (23, "a b"), (24, "a  b"), (25, "a c"), (26, "one two three four five six"), (26, "seven"), (26, "seven"), (26, "eight"), (None, "nine"), (None, "nine"), (None, "ten"), (None, base[2][1])]
+    got = simhash.deduplicate(frame(rows))
+    assert sorted((r.doc_id for r in got.collect()), key=repr) == brute_keepers(rows)
+    assert got.schema == frame(rows).schema and simhash.deduplicate(frame([])).count() == 0
+
+
+def test_known_pairs_need_no_second_look(spark, frame):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[:k] + ["x"] + words[k + 1 :])) for k in range(0, 300, 2)]  # one group, pairs near and far
+    assert [r.doc_id for r in simhash.deduplicate(frame(rows)).collect()] == [0]
+
+
+def test_stage_keeps_what_brute_force_keeps(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted((r.doc_id for r in simhash.deduplicate(docs).collect()), key=repr) == brute_keepers([(r.doc_id, r.text) for r in docs.collect()])

@@ -1,4 +1,4 @@
 from test_decontaminate import brute as contaminated
-from test_simhash import brute_groups as groups
+from test_simhash import brute_keepers as keepers
 
-__all__ = ["contaminated", "groups"]
+__all__ = ["contaminated", "keepers"]

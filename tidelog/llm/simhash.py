@@ -1,5 +1,9 @@
 """Near-duplicates by SimHash with multi-index hashing.
 
+`group` links fingerprints by their distance alone. `similar` links texts whose shingle sets
+have a Jaccard similarity of at least 0.8: wider fingerprints find candidates by the same
+tables and balls, complete distances verify them, and the sets decide.
+
 Null and empty texts have the fingerprint zero and are linked like any other; a text of
 any length is read whole; equal fingerprints are one node, so copies and repeated rows
 cost nothing beyond their own rows; rows without an id keep their fingerprint, and their
@@ -12,32 +16,60 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.shared import Scratch, texts_of
+from tidelog.llm.shared import Scratch, free_name, sliced, texts_of
 
 SEED, WORDS, DISTANCE = 42, 4, 4
+#: Near copies: words of a shingle, least Jaccard similarity.
+COPY_WORDS, SIMILARITY = 5, 0.8
+#: Longs of a wide fingerprint, segments of each. Sets at 0.8 differ in 15 % of the bits, so
+#: with a chance of 0.98 some of the twelve segments has at most one bit of sixteen wrong.
+WIDE, PARTS = 3, 4
+#: Bits that may differ in the first long and in all: 3.5 and 3.2 deviations beyond what sets at 0.8 give.
+FIRST_BITS, ALL_BITS = 20, 45
+#: Up to so many ids are sent to the texts; beyond, both are dealt by key.
+SENT = 2_000_000
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Majority bits of the XXH64 of all word shingles, repeats included."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; fewer words are one shingle, no words none."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(w)
     if len(w) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        first = np.concatenate(([0], ends[:-words])).tolist()
-        last = (ends[words - 1 :] - 1).tolist()
-        view, one = memoryview(joined), xxhash.xxh64_intdigest
-        hashes = [one(view[a:b], SEED) for a, b in zip(first, last)]
-    h = np.array(hashes, "<u8")
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    first = np.concatenate(([0], ends[:-words])).tolist()
+    last = (ends[words - 1 :] - 1).tolist()
+    view, one = memoryview(joined), xxhash.xxh64_intdigest
+    return np.array([one(view[a:b], SEED) for a, b in zip(first, last)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of h."""
     n = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         n += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * n > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Majority bits of the XXH64 of all word shingles, repeats included."""
+    return majority(shingles(text, words))
+
+
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """Majority bits of shingle hashes and of what multiplication and shifts make of them."""
+    out = []
+    for k in range(WIDE):
+        out.append(majority(h))
+        h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return out
+
+
 def fingerprints(df: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     kind = df.schema[doc_id].dataType.simpleString()
@@ -67,17 +99,26 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = 3) -> DataFrame
     radius = distance // parts
     if radius > 1:
         raise ValueError("take more segments: balls of radius two are not built")
-    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v"), F.lit(w).alias("w")) for k, (s, w) in enumerate(segments(parts))])
-    key = lambda k, v: (F.col(k).cast("long") * (1 << 40) + F.col(v)).alias("bucket")
-    split = fps.select("fp", F.explode(tables).alias("t")).select("fp", F.col("t.k").alias("k"), F.col("t.v").alias("v"), F.col("t.w").alias("w"))
-    table = split.select(F.col("fp").alias("b"), key("k", "v"))
-    ball = F.filter(F.concat(F.array(F.col("v")), F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.when(F.call_function("shiftright", F.col("v"), i).bitwiseAND(F.lit(1)) == 1, F.col("v") - F.call_function("shiftleft", F.lit(1).cast("long"), i)))), lambda x: x.isNotNull())
-    asks = split.select(F.col("fp").alias("a"), "k", F.explode(ball if radius else F.array("v")).alias("u")).select("a", key("k", "u"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("a") != F.col("b"))
-    met = asks.join(table.withColumnRenamed("bucket", "own"), (F.col("bucket") == F.col("own")) & near)
+    asks, table = _tables(fps, ["fp"], parts, radius, {"fp": "a"}, {"fp": "b"})
+    met = asks.join(table, (F.col("bucket") == F.col("own")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _tables(fps: DataFrame, columns: list[str], parts: int, radius: int, asking: dict, asked: dict) -> tuple[DataFrame, DataFrame]:
+    """(asks, table): rows of the Hamming balls under `bucket`, rows as they are under `own`; the
+    dicts name what each side carries."""
+    cuts = [(c, s, w) for c in columns for s, w in segments(parts)]
+    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(c, s).bitwiseAND(F.lit((1 << w) - 1)).alias("v"), F.lit(w).alias("w")) for k, (c, s, w) in enumerate(cuts)])
+    carried = list(dict.fromkeys([*asking, *asked]))
+    key = lambda k, v, name: (F.col(k).cast("long") * (1 << 40) + F.col(v)).alias(name)
+    split = fps.select(*carried, F.explode(tables).alias("t")).select(*carried, F.col("t.k").alias("segment"), F.col("t.v").alias("v"), F.col("t.w").alias("w"))
+    table = split.select(*[F.col(c).alias(n) for c, n in asked.items()], key("segment", "v", "own"))
+    ball = F.filter(F.concat(F.array(F.col("v")), F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.when(F.call_function("shiftright", F.col("v"), i).bitwiseAND(F.lit(1)) == 1, F.col("v") - F.call_function("shiftleft", F.lit(1).cast("long"), i)))), lambda x: x.isNotNull())
+    asks = split.select(*carried, "segment", F.explode(ball if radius else F.array("v")).alias("u")).select(*[F.col(c).alias(n) for c, n in asking.items()], key("segment", "u", "bucket"))
+    return asks, table
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes with an edge.
 
@@ -124,18 +165,92 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     return fps.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of their group, one row for each id; rows without an
-    id stay only where no member of their group has one, one of them."""
+def _wide(src: DataFrame, words: int) -> DataFrame:
+    """(doc_id, k, f0, f1, ...) of (doc_id, k, text)."""
+    kind = src.schema["doc_id"].dataType.simpleString()
+    names = [f"f{i}" for i in range(WIDE)]
+
+    def work(batches):
+        for b in sliced(batches, 2):
+            fps = np.array([wide_fingerprint(shingles(t, words)) for t in texts_of(b.column(2))], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, i]) for i in range(WIDE))], ["doc_id", "k", *names])
+
+    return src.mapInArrow(work, f"doc_id {kind}, k long, {', '.join(n + ' long' for n in names)}")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(k, s): the set of each text's shingles."""
+
+    def work(batches):
+        for b in sliced(batches, 1):
+            sets = [np.unique(shingles(t, words)).view(np.int64) for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["k", "s"])
+
+    return texts.mapInArrow(work, "k long, s array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least that Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where((shared > 0) & (shared >= similarity * (F.size("x") + F.size("y") - shared))).select("a", "b")
+
+
+def _text_key(text: str):
+    """Names the text; all texts without words have one name."""
+    return F.xxhash64(F.when(F.col(f"`{text}`").rlike("[^ \\t-\\r]"), F.col(f"`{text}`")).otherwise(""))
+
+
+def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, k, root, component_id) of every row: k names the text, root the group that links
+    between similar texts make, and component_id is the group's smallest id.
+
+    Equal texts are one node. Texts without words are alike and like no other text."""
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "similar")
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    content = F.when(F.trim(F.translate(content, "\t\n\x0b\x0c\r", "     ")) == "", "").otherwise(content)
+    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(content).alias("k"), content.alias("text"))
+    rows = scratch.keep(_wide(src, words), "rows")
+    fs = [f"f{i}" for i in range(WIDE)]
+    nodes = scratch.keep(rows.groupBy("k").agg(F.min("doc_id").alias("least"), *[F.max(f).alias(f) for f in fs]), "nodes")
+    asks, table = _tables(nodes, fs, PARTS, 1, {"k": "a", "f0": "fa"}, {"k": "b", "f0": "fb"})
+    near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FIRST_BITS) & (F.col("a") != F.col("b"))
+    met = asks.join(table, (F.col("bucket") == F.col("own")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n: nodes.select(F.col("k").alias(n), *[F.col(f).alias(n + f) for f in fs])
+    apart = sum((F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in fs), F.lit(0))
+    pairs = scratch.keep(met.join(side("a"), "a").join(side("b"), "b").where(apart <= ALL_BITS).select("a", "b"), "pairs")
+    ids = scratch.keep(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(nodes.select("k", "least"), "k"), "ids")
+    asked = ids.select(F.col("k").alias("_k"), "least")
+    asked = F.broadcast(asked) if ids.count() <= SENT else asked
+    found = src.join(asked, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("k", "text")
+    sets = scratch.keep(_sets(found, words).dropDuplicates(["k"]), "sets")
+    # Each text meets its smallest neighbour first; pairs that this has joined need no look.
+    first = scratch.keep(_alike(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity), "first")
+    lead = first.select(F.col("b").alias("n"), F.col("a").alias("to"))
+    led = pairs.join(lead.select(F.col("n").alias("a"), F.col("to").alias("ta")), "a", "left").join(lead.select(F.col("n").alias("b"), F.col("to").alias("tb")), "b", "left")
+    rest = led.where(F.coalesce("ta", "a") != F.coalesce("tb", "b")).select("a", "b")
+    edges = scratch.keep(first.union(_alike(rest, sets, similarity)), "edges")
+    scratch.drop("pairs", "sets", "first", "ids")
+    comps = components(edges, scratch)
+    rooted = nodes.join(comps, F.col("k") == F.col("node"), "left").select("k", "least", F.coalesce("root", "k").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = rooted.join(best, "root").select(F.col("k").alias("own"), "root", "component_id")
+    return rows.join(names, F.col("k") == F.col("own")).select("doc_id", "k", "root", "component_id")
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts: that with the smallest id, then the smallest name
+    of its text; one without an id stays only where no member of the group has one."""
     scratch = Scratch(df.sparkSession, "keepers")
-    grouped = scratch.keep(group(df, doc_id, text), "grouped")
-    best = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = scratch.keep(best.groupBy("doc_id", "fp").agg(F.count("*").alias("rows")), "best")
-    # An id that came with several texts stays with the smallest fingerprint of its group.
-    one = ids.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.sum("rows").alias("rows")) if ids.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() else ids
-    out = df.join(one.select(F.col("doc_id").alias("_best")), F.col(f"`{doc_id}`").eqNullSafe(F.col("_best")), "left_semi")
-    repeated = one.where("rows > 1").limit(1).count() > 0 or one.where("doc_id is null").limit(1).count() > 0
-    return out.dropDuplicates([doc_id]) if repeated else out
+    grouped = scratch.keep(similar(df, doc_id, text, words, similarity), "grouped")
+    one = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.k").alias("_k"))
+    one = scratch.keep(one, "one")
+    same = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    repeated = grouped.join(one, same).groupBy("k").count().where("count > 1").limit(1).count() > 0
+    name = free_name(df, "text_name")
+    keyed = df.withColumn(name, _text_key(text))
+    out = keyed.join(one, (F.col(f"`{name}`") == one["_k"]) & keyed[f"`{doc_id}`"].eqNullSafe(one["_id"]), "left_semi")
+    return (out.dropDuplicates([name]) if repeated else out).drop(name)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
