@@ -1,0 +1,82 @@
+"""The queries that look up every id, against brute force."""
+
+import hashlib
+import math
+
+import pytest
+
+import __spark_entry__ as e
+
+N = 2300
+
+
+def events():
+    return [(k, (k * 37) % 700 + (k % 5) * 300, "error" if k % 7 == 0 else "view", f'{{"k": {k % 100}}}') for k in range(N)]
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("small"))
+    df = spark.createDataFrame(events(), "event_id long, user_id long, event_type string, props string")
+    df.selectExpr("event_id", "timestamp_ntz'2024-01-01' as ts", "user_id", "event_type", "cast(1 as double) as value", "props").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def name(k):
+    return f"u/{k:06d}"
+
+
+def newest(rows):
+    return {name(u): (None if t == "error" else v, t == "error") for _, u, t, v in rows}
+
+
+def runs():
+    return {r: newest([x for x in events() if x[0] // 1000 == r]) for r in range(-(-N // 1000))}
+
+
+def state(at, key):
+    return ("absent", None) if key not in at else ("tombstone", None) if at[key][1] else ("present", at[key][0])
+
+
+def test_lookups(spark, small):
+    at, keys = newest(events()), [name(k) for k in range(N)]
+    want = sorted((k, *state(at, k)) for k in keys)
+    got = sorted((r.key, r.state, r.value) for r in e.queries()["kv_multi_get_all"](spark, small).collect())
+    assert got == want
+    assert {s for k, s, _ in want if k >= name(400)} == {"absent", "tombstone", "present"}
+    count = {s: sum(x[1] == s for x in want) for s in ("absent", "tombstone", "present")}
+    assert {r.state: r["keys"] for r in e.queries()["kv_lookup_state_all"](spark, small).collect()} == count
+    assert sorted(r.key for r in e.queries()["kv_missing_keys_all"](spark, small).collect()) == [k for k, s, _ in want if s != "present"]
+
+
+def test_lower_bound(spark, small):
+    want = set()
+    for r, rows in runs().items():
+        index, used, at = [], 0, 0
+        for key in sorted(rows):
+            entry = 8 + len(key) + len(rows[key][0] or "")
+            if used and used + entry > 512:
+                index.append((last, at))
+                at, used = at + used + 20, 0
+            used, last = used + entry, key
+        index.append((last, at))
+        want |= {(r, name(k), *next((x for x in index if x[0] >= name(k)), (None, None))) for k in range(N)}
+    got = [(r.run_id, r.key, r.found_key, r.found_offset) for r in e.queries()["run_index_lower_bound_all"](spark, small).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_filters(spark, small):
+    def bits(key, m, k):
+        h = hashlib.md5(key.encode()).hexdigest()
+        return {(int(h[:12], 16) + i * int(h[12:24], 16)) % m for i in range(k)}
+
+    want = set()
+    for r, rows in runs().items():
+        m = 8 * max(1, math.ceil(-len(rows) * math.log(0.01) / math.log(2) ** 2 / 8))
+        k = min(32, max(1, math.ceil(m / len(rows) * math.log(2))))
+        held = set().union(*(bits(x, m, k) for x in rows))
+        passed = [x for x in map(name, range(N)) if bits(x, m, k) <= held]
+        hits = sum(x in rows for x in passed)
+        want.add((r, N, len(passed), hits, len(passed) - hits))
+    got = {(r.run_id, r.probes, r.candidates, r.hits, r.false_positives) for r in e.queries()["bloom_probe_all"](spark, small).collect()}
+    assert got == want

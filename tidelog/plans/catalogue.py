@@ -36,6 +36,10 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").where("event_id < 400").select(F.format_string("u/%06d", "event_id").alias("key")).distinct()
 
 
+def _all_probes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select(F.format_string("u/%06d", "event_id").alias("key")).distinct()
+
+
 def _runs(spark, d):
     return R.run_rows(_log(spark, d))
 
@@ -152,3 +156,12 @@ register("block_cache_hits")(lambda s, d: trace.byte_lru(_accesses(s, d), 4000))
 register("admission_ledger")(lambda s, d: trace.admission(_ledger(s, d), 2000))
 register("manifest_cas", "SELECT event_type AS object, event_id AS seq, 'w' || (user_id % 2) AS writer, event_id // 3 AS expected_gen, CASE WHEN row_number() OVER (PARTITION BY event_type, event_id // 3 ORDER BY event_id) = 1 THEN 'committed' ELSE 'conflict' END AS outcome FROM events")(_cas)
 register("stream_live_view", f"WITH {RANKED} {LIVE}")(ingest.live_view)
+
+# The SQL of the queries of these names without _all looks up ids below 400 only; these look up
+# every id. The last two have no SQL: they pair each id with each run.
+ALL_PROBES = PROBES.replace(" WHERE e.event_id < 400", "")
+register("kv_multi_get_all", f"WITH {RANKED}, {NEW}, {ALL_PROBES} SELECT p.key, {STATE}, CASE WHEN NOT a.tomb THEN a.value END AS value FROM P p LEFT JOIN A a ON a.key = p.key")(lambda s, d: view.lookup(_log(s, d), _all_probes(s, d)))
+register("kv_lookup_state_all", f"WITH {RANKED}, {NEW}, {ALL_PROBES} SELECT state, count(*) AS keys FROM (SELECT {STATE} FROM P p LEFT JOIN A a ON a.key = p.key) GROUP BY state")(lambda s, d: view.lookup(_log(s, d), _all_probes(s, d)).groupBy("state").agg(F.count("*").alias("keys")))
+register("kv_missing_keys_all", f"WITH {RANKED}, {ALL_PROBES} SELECT key FROM P WHERE NOT EXISTS (SELECT 1 FROM N WHERE N.key = P.key AND rn = 1 AND NOT tomb)")(lambda s, d: view.missing(_log(s, d), _all_probes(s, d)))
+register("run_index_lower_bound_all")(lambda s, d: R.lower_bound(R.sparse_index(R.block_layout(_runs(s, d))), _all_probes(s, d)))
+register("bloom_probe_all")(lambda s, d: (lambda r: bloom.false_positives(bloom.probe(*bloom.build(r), r, _all_probes(s, d))))(_runs(s, d)))
