@@ -146,3 +146,15 @@ def test_known_pairs_need_no_second_look(spark, frame):
 def test_stage_keeps_what_brute_force_keeps(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted((r.doc_id for r in simhash.deduplicate(docs).collect()), key=repr) == brute_keepers([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_lines_repeated_in_one_copy(spark, frame):
+    rnd = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(60):
+        lines = [" ".join(rnd.choices(vocabulary, k=12)) for _ in range(10)]
+        rows += [(k, "\n".join(lines)), (100 + k, "\n".join(lines + [lines[-1]] * 30))]
+    want = brute_keepers(rows)
+    assert len(want) == 60
+    assert sorted((r.doc_id for r in simhash.deduplicate(frame(rows)).collect()), key=repr) == want

@@ -59,7 +59,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def wide_fingerprint(h: np.ndarray) -> list[int]:
-    """Majority bits of shingle hashes and of what multiplication and shifts make of them."""
+    """Majority bits of distinct shingle hashes and of what multiplication and shifts make of them."""
     out = []
     for k in range(WIDE):
         out.append(majority(h))
@@ -172,7 +172,7 @@ def _wide(src: DataFrame, words: int) -> DataFrame:
 
     def work(batches):
         for b in sliced(batches, 2):
-            fps = np.array([wide_fingerprint(shingles(t, words)) for t in texts_of(b.column(2))], np.uint64).reshape(-1, WIDE).view(np.int64)
+            fps = np.array([wide_fingerprint(np.unique(shingles(t, words))) for t in texts_of(b.column(2))], np.uint64).reshape(-1, WIDE).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, i]) for i in range(WIDE))], ["doc_id", "k", *names])
 
     return src.mapInArrow(work, f"doc_id {kind}, k long, {', '.join(n + ' long' for n in names)}")
