@@ -45,3 +45,19 @@ def test_edges(spark):
     assert len(got) == 5 and [r.text for r in got if r.page_id in (1, 2)] == ["", "", ""]
     assert next(r for r in got if r.page_id == 4).text == " ".join(["some words in a row."] * 5000)
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+ARTICLE = "<article><h1>A title of some words</h1><p>Some words of the text, and some more of them in a row.</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    '<svg class="icon"/>', '<SVG viewBox="0 0 1 1" />', '<svg class="icon"/><p class="menu">x <svg><path d="M0"/><text>icon</text></svg></p>', "<svg>", "<option>", "<select><option>one<option>two</select>",
+    '<datalist id="d"><option value="a"></datalist>', '<datalist><option value="a">one<option>two</datalist>', '<datalist><option value="a">', "<select><option>one</option>", "<option>one</option>",
+])
+@pytest.mark.parametrize("after", ["", "<footer><select><option>three</option></select><svg><text>icon</text></svg></footer>"])
+def test_article_after_open_elements(model, before, after):
+    page = f"<html><body><header>{before}</header>{ARTICLE}{after}</body></html>"
+    texts = [x[1] for x in extract.blocks(page)]
+    want = ["A title of some words", "Some words of the text, and some more of them in a row."]
+    assert texts[-2:] == want and "icon" not in " ".join(texts)
+    assert " ".join(want) in model.main_text(page)

@@ -21,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TRAIN, ROUNDS, RATE = 600, 80, 0.5
-# Elements without content, with raw content, and those that don't end a block.
+# Elements without content, with raw content, those of them that end with their tag
+# where no end tag follows before a scope's tag or one of their kind, those that stand in no path, and those that don't end a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style template noscript textarea title svg iframe select option".split())
+RAW = frozenset("script style template noscript textarea title svg iframe select datalist".split())
+BRIEF = frozenset("svg select datalist".split())
+LOOSE = frozenset(["option"])
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 SCOPES = frozenset("article main nav aside footer header form section".split())
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
+_SCOPE_TAG = rf"</?(?:{'|'.join(sorted(SCOPES))})\b"
 _ATTR = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -65,7 +69,11 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
                     break
             continue
         if tag in RAW:
+            if tag == "svg" and m[0].endswith("/>"):
+                continue
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if tag in BRIEF and (not end or re.compile(rf"<{tag}\b|{_SCOPE_TAG}", re.I).search(page, at, end.start())):
+                continue
             at = end.end() if end else len(page)
             continue
         if tag not in INLINE:
@@ -77,7 +85,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        if tag not in VOID:
+        if tag not in VOID and tag not in LOOSE:
             marks = " ".join(a or b or c for _, a, b, c in _ATTR.findall(m[3])).lower() if m[3] else ""
             stack.append((tag, marks))
     if at < len(page):
