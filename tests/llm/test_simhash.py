@@ -158,3 +158,16 @@ def test_lines_repeated_in_one_copy(spark, frame):
     want = brute_keepers(rows)
     assert len(want) == 60
     assert sorted((r.doc_id for r in simhash.deduplicate(frame(rows)).collect()), key=repr) == want
+
+
+def test_pairs_at_the_limit_are_all_found(spark, frame):
+    rnd = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(150):
+        n = rnd.choice([4, 4, 5, 8, 12, 60])  # shingles; the copy has a quarter more
+        w = rnd.choices(vocabulary, k=n + 4 + n // 4)
+        rows += [(k, " ".join(w[: n + 4])), (1000 + k, " ".join(w))]
+    want = brute_keepers(rows)
+    assert len(want) == 150
+    assert sorted((r.doc_id for r in simhash.deduplicate(frame(rows)).collect()), key=repr) == want

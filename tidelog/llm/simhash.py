@@ -1,8 +1,9 @@
 """Near-duplicates by SimHash with multi-index hashing.
 
 `group` links fingerprints by their distance alone. `similar` links texts whose shingle sets
-have a Jaccard similarity of at least 0.8: wider fingerprints find candidates by the same
-tables and balls, complete distances verify them, and the sets decide.
+have a Jaccard similarity of at least 0.8, and misses none: of two such sets each has a fifth
+of its shingles, the rarest in one common order, of which one at least is in both; texts that
+meet there are compared by their whole sets.
 
 Null and empty texts have the fingerprint zero and are linked like any other; a text of
 any length is read whole; equal fingerprints are one node, so copies and repeated rows
@@ -21,11 +22,9 @@ from tidelog.llm.shared import Scratch, free_name, sliced, texts_of
 SEED, WORDS, DISTANCE = 42, 4, 4
 #: Near copies: words of a shingle, least Jaccard similarity.
 COPY_WORDS, SIMILARITY = 5, 0.8
-#: Longs of a wide fingerprint, segments of each. Sets at 0.8 differ in 15 % of the bits, so
-#: with a chance of 0.98 some of the twelve segments has at most one bit of sixteen wrong.
-WIDE, PARTS = 3, 4
-#: Bits that may differ in the first long and in all: 3.5 and 3.2 deviations beyond what sets at 0.8 give.
-FIRST_BITS, ALL_BITS = 20, 45
+#: Shingles of one text in SAMPLE are counted, and the OFTEN most frequent that FEW of them have come last
+#: in the order. That only spreads the work: any order finds the same pairs.
+SAMPLE, FEW, OFTEN = 16, 4, 200_000
 #: Up to so many ids are sent to the texts; beyond, both are dealt by key.
 SENT = 2_000_000
 
@@ -58,18 +57,6 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return majority(shingles(text, words))
 
 
-def wide_fingerprint(h: np.ndarray) -> list[int]:
-    """Majority bits of distinct shingle hashes and of what multiplication and shifts make of them."""
-    out = []
-    for k in range(WIDE):
-        out.append(majority(h))
-        h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    return out
-
-
 def fingerprints(df: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     kind = df.schema[doc_id].dataType.simpleString()
@@ -165,17 +152,43 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     return fps.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fp", "component_id")
 
 
-def _wide(src: DataFrame, words: int) -> DataFrame:
-    """(doc_id, k, f0, f1, ...) of (doc_id, k, text)."""
-    kind = src.schema["doc_id"].dataType.simpleString()
-    names = [f"f{i}" for i in range(WIDE)]
+def _often(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, counts) of the most frequent shingles of a sample of (k, text)."""
 
     def work(batches):
-        for b in sliced(batches, 2):
-            fps = np.array([wide_fingerprint(np.unique(shingles(t, words))) for t in texts_of(b.column(2))], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, i]) for i in range(WIDE))], ["doc_id", "k", *names])
+        for b in sliced(batches, 1):
+            for t in texts_of(b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, words)).view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod("k", F.lit(SAMPLE)) == 0).mapInArrow(work, "h long").groupBy("h").count().where(F.col("count") >= FEW)
+    got = some.orderBy(F.desc("count")).limit(OFTEN).collect()
+    h, n = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
-    return src.mapInArrow(work, f"doc_id {kind}, k long, {', '.join(n + ' long' for n in names)}")
+
+def _rarest(texts: DataFrame, words: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, k, n): so many of the rarest shingles h of each text of n that similar texts share one."""
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
+    def work(batches):
+        names, counts = sent.value
+        for b in sliced(batches, 1):
+            hs, ks, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                s = np.unique(shingles(t, words))
+                if not len(s):
+                    continue
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    s = s[np.argsort(np.where(names[at] == s, counts[at], 0), kind="stable")]
+                take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+                hs.append(s[:take])
+                ks.append(np.full(take, k, np.int64))
+                ns.append(np.full(take, len(s), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ks)), pa.array(np.concatenate(ns))], ["h", "k", "n"])
+
+    return texts.mapInArrow(work, "h long, k long, n long")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -210,27 +223,38 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     content = F.when(F.trim(F.translate(content, "\t\n\x0b\x0c\r", "     ")) == "", "").otherwise(content)
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(content).alias("k"), content.alias("text"))
-    rows = scratch.keep(_wide(src, words), "rows")
-    fs = [f"f{i}" for i in range(WIDE)]
-    nodes = scratch.keep(rows.groupBy("k").agg(F.min("doc_id").alias("least"), *[F.max(f).alias(f) for f in fs]), "nodes")
-    asks, table = _tables(nodes, fs, PARTS, 1, {"k": "a", "f0": "fa"}, {"k": "b", "f0": "fb"})
-    near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FIRST_BITS) & (F.col("a") != F.col("b"))
-    met = asks.join(table, (F.col("bucket") == F.col("own")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda n: nodes.select(F.col("k").alias(n), *[F.col(f).alias(n + f) for f in fs])
-    apart = sum((F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in fs), F.lit(0))
-    pairs = scratch.keep(met.join(side("a"), "a").join(side("b"), "b").where(apart <= ALL_BITS).select("a", "b"), "pairs")
-    ids = scratch.keep(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(nodes.select("k", "least"), "k"), "ids")
-    asked = ids.select(F.col("k").alias("_k"), "least")
-    asked = F.broadcast(asked) if ids.count() <= SENT else asked
-    found = src.join(asked, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("k", "text")
-    sets = scratch.keep(_sets(found, words).dropDuplicates(["k"]), "sets")
-    # Each text meets its smallest neighbour first; pairs that this has joined need no look.
-    first = scratch.keep(_alike(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity), "first")
-    lead = first.select(F.col("b").alias("n"), F.col("a").alias("to"))
-    led = pairs.join(lead.select(F.col("n").alias("a"), F.col("to").alias("ta")), "a", "left").join(lead.select(F.col("n").alias("b"), F.col("to").alias("tb")), "b", "left")
-    rest = led.where(F.coalesce("ta", "a") != F.coalesce("tb", "b")).select("a", "b")
-    edges = scratch.keep(first.union(_alike(rest, sets, similarity)), "edges")
-    scratch.drop("pairs", "sets", "first", "ids")
+    rows = scratch.keep(src.select("doc_id", "k"), "rows")
+    nodes = scratch.keep(rows.groupBy("k").agg(F.min("doc_id").alias("least")), "nodes")
+    few = nodes.count() <= SENT
+
+    def texts(ids):
+        asked = ids.select(F.col("k").alias("_k"), "least")
+        asked = F.broadcast(asked) if few else asked
+        return src.join(asked, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("k", "text")
+
+    def compare(pairs, name):
+        ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(nodes, "k")
+        sets = scratch.keep(_sets(texts(ids), words).dropDuplicates(["k"]), f"sets-{name}")
+        out = scratch.keep(_alike(pairs, sets, similarity), name)
+        scratch.drop(f"sets-{name}")
+        return out
+
+    all_texts = texts(nodes)
+    rare = scratch.keep(_rarest(all_texts, words, similarity, _often(all_texts, words)), "rare")
+    sized = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
+    # Each text meets the first text of each of its shingles; texts that this has joined need no second look.
+    one = rare.groupBy("h").agg(F.min(F.struct("k", "n")).alias("x"), F.max("k").alias("z")).where("x.k < z").select(F.col("h").alias("_h"), F.col("x.k").alias("a"), F.col("x.n").alias("na"))
+    met = rare.select("h", F.col("k").alias("b"), F.col("n").alias("nb")).join(one, F.col("h") == F.col("_h"))
+    first = compare(scratch.keep(met.where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct(), "met"), "first")
+    joined = scratch.keep(components(first, scratch), "joined").select(F.col("node").alias("_k"), F.col("root").alias("to"))
+    led = rare.join(joined, F.col("k") == F.col("_k"), "left").select("h", "k", "n", F.coalesce("to", "k").alias("to"))
+    open_ = led.groupBy("h").agg(F.min("to").alias("x"), F.max("to").alias("z")).where("x < z").select(F.col("h").alias("_h"))
+    led = scratch.keep(led.join(open_, F.col("h") == F.col("_h"), "left_semi"), "open")
+    side = lambda x: led.select(F.col("h").alias("h" + x), F.col("k").alias(x), F.col("n").alias("n" + x), F.col("to").alias("t" + x))
+    rest = side("a").join(side("b"), (F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b")) & (F.col("ta") != F.col("tb")) & sized).select("a", "b").distinct()
+    rest = scratch.keep(rest.exceptAll(spark.read.parquet(scratch.path("met"))), "rest")
+    edges = scratch.keep(first.union(compare(rest, "second")), "edges")
+    scratch.drop("rare", "met", "joined", "open", "rest", "first", "second")
     comps = components(edges, scratch)
     rooted = nodes.join(comps, F.col("k") == F.col("node"), "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
