@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -62,3 +64,20 @@ def test_no_python_on_the_main_path(spark, sf):
     plan = secrets.op7(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert F is not None
+
+
+def test_random_tokens_are_found(frame):
+    rnd = random.Random(6)
+    letters = string.ascii_letters + string.digits
+    signs = {"hex": "0123456789ABCDEF", "alnum": letters, "base64": letters + "+/", "url": letters + "-_"}
+    tokens = []
+    for kind, alphabet in signs.items():
+        for size in (20, 24, 32, 40):
+            for _ in range(100):
+                t = "".join(rnd.choices(alphabet, k=size - 2)) + rnd.choice("0123456789") + "A"
+                tokens.append((kind, size, t[:9] + alphabet[-1] + t[10:]))
+    got = {r.doc_id: r.found for r in secrets.find_secrets(frame([(k, f"see {t} now") for k, (_, _, t) in enumerate(tokens)]), to="found").collect()}
+    for kind in signs:
+        for size in (20, 24, 32, 40):
+            of = [k for k, x in enumerate(tokens) if x[:2] == (kind, size)]
+            assert sum(bool(got[k]) for k in of) >= 0.93 * len(of), (kind, size)
