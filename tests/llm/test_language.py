@@ -37,3 +37,12 @@ def test_pages(spark, sf):
     got = language.langid_pages(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert sum(r.lang_id == r.declared for r in got) >= 0.97 * len(got)
+
+
+def test_accuracy_on_rows_left_out_of_the_fit(spark, sf):
+    docs, languages = spark.read.parquet(f"{sf}/documents.parquet"), ["de", "en", "es", "fr"]
+    logs, table = language.fit(docs.where("doc_id % 2 = 0").selectExpr("text", "lang as declared"), languages), language._letters()
+    rows = docs.where("doc_id % 2 = 1 and length(text) > 60").collect()
+    right = sum(languages[int(logs[language.trigrams(r.text, table)].sum(axis=0).argmax())] == r.lang for r in rows)
+    print("left out:", right, "of", len(rows))
+    assert rows and right >= 0.97 * len(rows)
