@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -81,3 +82,48 @@ def test_random_tokens_are_found(frame):
         for size in (20, 24, 32, 40):
             of = [k for k, x in enumerate(tokens) if x[:2] == (kind, size)]
             assert sum(bool(got[k]) for k in of) >= 0.93 * len(of), (kind, size)
+
+
+def brute_entropy(text, bits):
+    """Maximal stretches that windows of at least so many bits cover."""
+    out = []
+    for i in range(len(text) - 19):
+        if entropy(text[i : i + 20]) >= bits - 1e-9:
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], i + 20)
+            else:
+                out.append((i, i + 20))
+    return out
+
+
+def test_long_candidates_match_brute_force(frame):
+    rnd = random.Random(14)
+    letters = string.ascii_letters + string.digits
+    rows = []
+    for k, size in enumerate([20, 21, 531, 532, 533, 1043, 1044, 5000]):
+        parts = []
+        while sum(map(len, parts)) < size:
+            parts.append(rnd.choice([lambda: "".join(rnd.choices(letters, k=rnd.randint(1, 60))), lambda: rnd.choice(letters) * rnd.randint(1, 90)])())
+        rows.append((k, ("1" + "".join(parts))[:size - 1] + "z"))
+    got = {r.doc_id: [(s.start, s.stop) for s in r.found if s.kind == "entropy"] for r in secrets.find_secrets(frame(rows), to="found").collect()}
+    for k, t in rows:
+        base = [(a, c) for a, _, c, _ in brute(t)]
+        assert got[k] == [x for x in brute_entropy(t, 3.6) if not any(a <= x[0] and x[1] <= c for a, c in base)], k
+
+
+def test_many_matches_and_one_very_long_candidate(frame):
+    rnd = random.Random(15)
+    letters = string.ascii_letters + string.digits
+    many = "é ".join(f"k{k} token={''.join(rnd.choices(letters, k=24))}-{k % 10} {rnd.getrandbits(70):020x}" for k in range(4000))
+    rows = [(1, many), (2, "".join(rnd.choices(letters, k=1 << 20))), (3, "a-" * 100_000 + "b")]
+    start = time.time()
+    got = {r.doc_id: r for r in secrets.redact(secrets.find_secrets(frame(rows), to="found"), "text", "found").collect()}
+    assert time.time() - start < 120
+    assert [(s.start, s.rank, s.stop, s.kind) for s in got[1].found if s.kind != "entropy"] == brute(many)
+    assert sum(s.stop - s.start for s in got[2].found) > 0.95 * (1 << 20) and not got[3].found
+    want, at = [], 0
+    for s in got[1].found:
+        if s.stop > at:
+            want += [many[at : s.start], "[SECRET]"] if s.start >= at else []
+            at = s.stop
+    assert got[1].text == "".join(want) + many[at:]
