@@ -17,7 +17,6 @@ ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "\n\na b\n", "don't WE'LL sto
 @pytest.mark.parametrize("kind,file", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
 def test_same_ids_as_the_library(spark, sf, kind, file):
     plain = Tokenizer.from_file(public_tokenizers.path(file))
-    plain.encode_special_tokens = True
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     rnd = random.Random(2)
     texts += ["".join(rnd.choices("ab é.,'\n 1ſḰsS", k=30)) for _ in range(300)]
@@ -25,6 +24,22 @@ def test_same_ids_as_the_library(spark, sf, kind, file):
         assert np.frombuffer(encoder(None, kind).ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+SIGNS = ["a", "Zebra", "é", "ß", "İ", "K", "ſ", "ŉ", "ª", "ﬁ", "Σ", "ς", "日本", "😀", "́", "1", "42", "½", ".", ",", "'", "'s", "'LL", "_", "...", "<", "|", "<|", "<|endoftext|>", "<|startoftext|>",
+         "<|EndOfText|>", " ", " ", " ", "  ", "\t", "\n", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "\u180e", "\u200b", "\ufeff", "\0"]
+
+
+@pytest.mark.parametrize("kind,file", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+def test_any_mixture_gives_the_librarys_ids(kind, file):
+    plain, mine, rnd = Tokenizer.from_file(public_tokenizers.path(file)), encoder(None, kind), random.Random(9)
+    tame = [x for x in SIGNS if not x.strip() in ("", "<|") and x.isprintable()]
+    texts = ["".join(rnd.choices(SIGNS, k=rnd.randint(1, 12))) for _ in range(30_000)]
+    texts += [rnd.choice([" ", "\n", " ", "  "]).join("".join(rnd.choices(tame, k=rnd.randint(1, 4))) for _ in range(rnd.randint(1, 6))) for _ in range(30_000)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        for t, e in zip(some, plain.encode_batch(some, add_special_tokens=False)):
+            assert np.frombuffer(mine.ids(t), "<u4").tolist() == e.ids, repr(t)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

@@ -2,8 +2,8 @@
 
 A row is a segment of one document: its shard (the writing task), row number and start
 within the shard, and at most SEGMENT ids, so that no row grows with a text. Shards hold
-ascending ranges of document ids; readers split files by stripes, and a filter on doc_id
-prunes files, stripes and row groups by statistics and Bloom filters.
+ascending ranges of document ids, in files of a bounded number of rows; readers split files
+by stripes, and a filter on doc_id prunes files, stripes and row groups by statistics and Bloom filters.
 
 Null and empty texts are documents of the end id alone; rows without an id come first;
 rows with one id are ordered by a hash of their text, so equal rows stay apart and ties
@@ -21,7 +21,7 @@ from tidelog.llm.shared import Scratch, partitions, sliced, worker_cache
 from tidelog.llm.tokens import encoder
 
 END, SEGMENT = 0, 4096
-OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.compress": "ZSTD"}
+OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.compress": "ZSTD", "maxRecordsPerFile": str(1 << 17)}
 
 
 def schema(doc_id: T.DataType) -> T.StructType:

@@ -2,8 +2,10 @@
 
 A text is cut where its tokenizer always cuts (a space before a word, white space), the
 pieces' ids are remembered, and only new pieces go through the library. Texts for which
-such a cut isn't certain are encoded in one call. The memory for pieces is bounded and
-doesn't change results.
+such a cut isn't certain are encoded in one call: those with special tokens' signs (the
+library's default gives a special token inside a text its own id), with white space other
+than what a cut is made at, or with characters that tables of white space disagree on. The
+memory for pieces is bounded and doesn't change results.
 """
 
 import re
@@ -12,13 +14,17 @@ import numpy as np
 
 from tidelog.llm.shared import worker_cache
 
-PIECES = 800_000
+PIECES = {"byte": 800_000, "word": 400_000}
 BYTE_FILE, WORD_FILE = "byte_bpe_50k.json", "word_bpe_49k.json"
-_UNSURE_BYTE = re.compile(r" (?:\s|\Z)|[\x1c-\x1f᠎]")
 #: Characters that Python and the tokenizers' patterns may not agree on as white space.
-_DISPUTED = ("\x1c", "\x1d", "\x1e", "\x1f", "᠎")
-#: Letters, then signs that aren't letters, digits, white space or an apostrophe: two tokens' worth of text.
-_WORD_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_DISPUTED = "\x1c-\x1f\u180e\u200b\ufeff"
+_UNSURE_WORD = re.compile(f"[{_DISPUTED}]")
+#: Those, and all white space but spaces and line breaks.
+_UNSURE_BYTE = re.compile(f"[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000{_DISPUTED}]")
+#: Letters that lower-casing and normal forms map one to one, and ASCII signs other than the apostrophe.
+_PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTERS = re.compile(f"[{_PLAIN}]+")
+_WORD_SIGNS = re.compile(rf"([{_PLAIN}]+)([!-&(-/:-@\[-`{{-~]+)")
 
 
 def _alphabet() -> dict[int, str]:
@@ -29,11 +35,11 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _single_breaks(text: str) -> bool:
-    """Words with just one space or line break between any two, and none around them."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _DISPUTED):
+def _even(text: str) -> bool:
+    """Each space or line break stands alone between two words, and no other white space does."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("", " ", "\n") or text[-1] in " \n":
         return False
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    return not _UNSURE_BYTE.search(text)
 
 
 class Encoder(dict):
@@ -44,7 +50,6 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind, self.lead, self.map = kind, " " if kind == "byte" else "", _alphabet()
         self.tokenize, self.mark = self.tokenizer.model.tokenize, self.lead.translate(self.map)
         self.coded = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
@@ -64,16 +69,10 @@ class Encoder(dict):
         if p[0] == "\0":
             return self.whole(p[1:])
         lead, word = ("", p[1:]) if p[0] == "\n" else (self.lead, p)
-        if not word.isalpha():
-            m = _WORD_SIGNS.fullmatch(word)
-            return self[p[: len(p) - len(m[2])]] + self["\0" + m[2]] if m else self.whole(lead + word)
-        if max(word) >= "ƀ":
-            return self.whole(lead + word)
-        if self.kind == "word":
-            word = word.lower()
-            if not word.isalpha():
-                return self.whole(p)
-        return self.letters(lead + word)
+        if _LETTERS.fullmatch(word):
+            return self.letters(lead + (word.lower() if self.kind == "word" else word))
+        m = _WORD_SIGNS.fullmatch(word)
+        return self[p[: len(p) - len(m[2])]] + self["\0" + m[2]] if m else self.whole(lead + word)
 
     def __missing__(self, p: str) -> bytes:
         if p.isascii() and p.isalpha():  # such letters stand for themselves
@@ -81,25 +80,20 @@ class Encoder(dict):
         else:
             out = self.piece(p)
         if len(p) <= 64:
-            if len(self) >= PIECES:
+            if len(self) >= PIECES[self.kind]:
                 self.clear()
             self[p] = out
         return out
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.kind == "byte":
-            if _single_breaks(text):
-                lines = [line.split(" ") for line in text.split("\n")]
-                return self.line_break.join([self["\n" + x[0]] + b"".join(map(self.__getitem__, x[1:])) for x in lines])
-            if _UNSURE_BYTE.search(text):
-                return self.whole(text)
-            first, *rest = text.split(" ")
-            return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
-        if any(c in text for c in _DISPUTED):
+        if "<|" in text or "\0" in text:
+            return self.whole(text)
+        if self.kind == "word":
+            return self.whole(text) if _UNSURE_WORD.search(text) else b"".join(map(self.__getitem__, text.split()))
+        if not _even(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        lines = [line.split(" ") for line in text.split("\n")]
+        return self.line_break.join([self["\n" + x[0]] + b"".join(map(self.__getitem__, x[1:])) for x in lines])
 
 
 def encoder(path: str | None, kind: str) -> Encoder:
