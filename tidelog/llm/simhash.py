@@ -2,22 +2,27 @@
 
 `group` links fingerprints by their distance alone. `similar` links texts whose shingle sets
 have a Jaccard similarity of at least 0.8, and misses none: of two such sets each has a fifth
-of its shingles, the rarest in one common order, of which one at least is in both; texts that
-meet there are compared by their whole sets.
+of its shingles, the rarest in one common order, of which one at least is in both. Texts that
+share one are a bucket. Each member first meets the bucket's leader; what that links is one
+component, and only members of different components meet after that, so a group of copies
+costs its rows and not its pairs. Whoever meets is compared by whole sets.
 
 Null and empty texts have the fingerprint zero and are linked like any other; a text of
-any length is read whole; equal fingerprints are one node, so copies and repeated rows
+any length is read whole; equal fingerprints or texts are one node, so copies and repeated rows
 cost nothing beyond their own rows; rows without an id keep their fingerprint, and their
 group is that of the fingerprint (null if no member has an id); an empty table gives an
-empty result; extra columns are not read.
+empty result; extra columns are not read by `group` and `similar`, and `deduplicate` passes
+them through under their own names.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.shared import Scratch, free_name, sliced, texts_of
+from tidelog.llm.shared import Scratch, partitions, sliced, texts_of, worker_cache
 
 SEED, WORDS, DISTANCE = 42, 4, 4
 #: Near copies: words of a shingle, least Jaccard similarity.
@@ -25,8 +30,8 @@ COPY_WORDS, SIMILARITY = 5, 0.8
 #: Shingles of one text in SAMPLE are counted, and the OFTEN most frequent that FEW of them have come last
 #: in the order. That only spreads the work: any order finds the same pairs.
 SAMPLE, FEW, OFTEN = 16, 4, 200_000
-#: Up to so many ids are sent to the texts; beyond, both are dealt by key.
-SENT = 2_000_000
+#: Leaders go on meeting buckets until the pairs left to look at are so many for each row at most.
+LINEAR = 1000
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -106,37 +111,38 @@ def _tables(fps: DataFrame, columns: list[str], parts: int, radius: int, asking:
     return asks, table
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes with an edge.
 
-    Large-star and small-star steps alternate until nothing changes; each round is written,
-    and only its number of edges and a checksum of them come to the driver. A star's centre
-    is met by an aggregate of its neighbours' minimum and a join, never by a list of them."""
+    Large-star and small-star steps alternate until a round leaves the edges as they were;
+    each round is written, and only its number of edges comes to the driver. The neighbours of
+    a star's centre are dealt by (centre, salt), and its least neighbour goes to the salts that
+    it has, so no task gets a whole star."""
+    salts = partitions(edges.sparkSession)
 
-    def measure(e):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    def with_least(e):
+        dealt = e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        part = dealt.groupBy("u", "salt").agg(F.min("v").alias("p"))
+        least = part.groupBy("u").agg(F.min("p").alias("m"), F.collect_set("salt").alias("s")).select("u", "m", F.explode("s").alias("salt"))
+        return dealt.join(least, ["u", "salt"])
 
     def large(e):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = with_least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).withColumn("m", F.least("m", "u"))
+        return both.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
     def small(e):
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        tied = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges-0")
-    before = measure(e)
-    for k in range(1, rounds + 1):
-        e = scratch.keep(small(large(e)), f"edges-{k}")
-        after = measure(e)
-        scratch.drop(f"edges-{k - 1}")
-        if after == before:
+        met = with_least(e)
+        return met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(met.select("u", F.col("m").alias("v"))).distinct()
+
+    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
+    k, n = 0, e.count()
+    while n:
+        new = scratch.keep(small(large(e)), f"{name}-{k + 1}")
+        same = (m := new.count()) == n and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        scratch.drop(f"{name}-{k}")
+        e, k, n = new, k + 1, m
+        if same:
             break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
@@ -152,31 +158,88 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     return fps.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fp", "component_id")
 
 
+class Names(dict):
+    """64-bit names of words; the memory for them is bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        name = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= 64:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = name
+        return name
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """64-bit names of the different word shingles, in order; fewer words are one shingle, no words none."""
+    cache = worker_cache()
+    names = cache.get("names") or cache.setdefault("names", Names())
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    one = np.fromiter(map(names.__getitem__, w), np.uint64, len(w))
+    width, n = min(words, len(w)), max(1, len(w) - words + 1)
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
+        out = (out ^ one[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _content(text: str):
+    """The text, and an empty one for all texts without words."""
+    c = F.col(f"`{text}`")
+    return F.when(c.rlike("[^ \\t-\\r]"), c).otherwise(F.lit(""))
+
+
+def _names(content) -> list:
+    """128 bits that name a text."""
+    return [F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(1), content).alias("k2")]
+
+
+def _distinct(df: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """(k1, k2, id, words_of, c0, c1 ...): of each different text the row with the smallest doc_id,
+    whole, and a number. Copies merge before they travel; the table is bucketed by name, so
+    that joins by name move no text."""
+    spark, content = df.sparkSession, _content(text)
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("tie"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+    one = df.select(*_names(content), first.alias("first"), row.alias("row")).groupBy("k1", "k2").agg(F.min_by("row", "first").alias("row"))
+    table = f"texts_{uuid.uuid4().hex}"
+    numbered = one.select("k1", "k2", F.monotonically_increasing_id().alias("id"), "row.*")
+    numbered.write.format("parquet").bucketBy(partitions(spark), "k1", "k2").option("path", scratch.path("texts")).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its files stay, and the frame knows them
+    return out
+
+
 def _often(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, counts) of the most frequent shingles of a sample of (k, text)."""
+    """(shingles in order, counts) of the most frequent shingles of a sample of (id, text)."""
 
     def work(batches):
         for b in sliced(batches, 1):
             for t in texts_of(b.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, words)).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["h"])
 
-    some = texts.where(F.pmod("k", F.lit(SAMPLE)) == 0).mapInArrow(work, "h long").groupBy("h").count().where(F.col("count") >= FEW)
-    got = some.orderBy(F.desc("count")).limit(OFTEN).collect()
-    h, n = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(work, "h long").groupBy("h").count().where(F.col("count") >= FEW)
+    got = some.orderBy(F.desc("count"), "h").limit(OFTEN).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def _rarest(texts: DataFrame, words: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, k, n): so many of the rarest shingles h of each text of n that similar texts share one."""
+    """(h, id, n, r): so many of the rarest shingles h of each text of n that similar texts share
+    one; r counts h and all that follow it in the order."""
     sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def work(batches):
         names, counts = sent.value
         for b in sliced(batches, 1):
-            hs, ks, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                s = np.unique(shingles(t, words))
+            hs, ids, ns, rs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                s = shingle_set(t, words)
                 if not len(s):
                     continue
                 if len(names):
@@ -184,97 +247,121 @@ def _rarest(texts: DataFrame, words: int, similarity: float, often: tuple[np.nda
                     s = s[np.argsort(np.where(names[at] == s, counts[at], 0), kind="stable")]
                 take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
                 hs.append(s[:take])
-                ks.append(np.full(take, k, np.int64))
-                ns.append(np.full(take, len(s), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ks)), pa.array(np.concatenate(ns))], ["h", "k", "n"])
+                ids.append(np.full(take, i, np.int64))
+                ns.append(np.full(take, len(s), np.int32))
+                rs.append(np.arange(len(s), len(s) - take, -1, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (ids, ns, rs))], ["h", "id", "n", "r"])
 
-    return texts.mapInArrow(work, "h long, k long, n long")
+    return texts.mapInArrow(work, "h long, id long, n int, r int")
 
 
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(k, s): the set of each text's shingles."""
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets have at least that Jaccard similarity."""
 
     def work(batches):
-        for b in sliced(batches, 1):
-            sets = [np.unique(shingles(t, words)).view(np.int64) for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["k", "s"])
-
-    return texts.mapInArrow(work, "k long, s array<long>")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least that Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where((shared > 0) & (shared >= similarity * (F.size("x") + F.size("y") - shared))).select("a", "b")
-
-
-def _text_key(text: str):
-    """Names the text; all texts without words have one name."""
-    return F.xxhash64(F.when(F.col(f"`{text}`").rlike("[^ \\t-\\r]"), F.col(f"`{text}`")).otherwise(""))
+        last, x = None, None
+        for b in batches:
+            keep = []
+            for k in range(b.num_rows):
+                a = b.column(0)[k].as_py()
+                if a != last:
+                    last, x = a, shingle_set(b.column(2)[k].as_py().encode(), words)
+                y = shingle_set(b.column(3)[k].as_py().encode(), words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
+
+def _reachable(n: str, r: str, m: str, q: str, similarity: float):
+    """Can sets of n and m be similar whose first common shingle has r and q from it on? They
+    share least(r, q) at most. A pair that can't meets in no bucket as its first common one."""
+    need = similarity / (1 + similarity)
+    return (F.least(r, q) >= need * (F.col(n) + F.col(m)) - 1e-9) & (F.col(n) >= similarity * F.col(m) - 1e-9) & (F.col(m) >= similarity * F.col(n) - 1e-9)
+
+
+def _classes(texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, root) of the texts (k1, k2, id, text) that are like some other."""
+    whole = texts.select("id", "text")
+    rare = scratch.keep(_rarest(whole, words, similarity, _often(whole, words)), "rare")
+    twice = scratch.keep(rare.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    met = scratch.keep(rare.join(twice, "h"), "met")
+    scratch.drop("rare", "twice")
+    # The text that meets most others for its size leads: of a group of copies that is the one they are made from.
+    weight = met.groupBy("id").agg((F.sum("c") / F.first("n")).alias("w"))
+    rows = scratch.keep(met.join(weight, "id").select("h", "id", "n", "r", "w", F.col("id").alias("to")), "weighed")
+    named = texts.select("id", "k1", "k2").join(rows.select("id").distinct(), "id")
+    asked = scratch.keep(texts.select("k1", "k2", "text").join(named, ["k1", "k2"]).select("id", "text"), "asked")
+    edges, compared, k = None, None, 0
+
+    def compare(met, name):
+        """Verifies the pairs that have not met before; True if any is similar."""
+        nonlocal edges, compared
+        new = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = scratch.keep(new.join(compared, ["a", "b"], "left_anti") if compared is not None else new, f"pairs-{name}")
+        good = scratch.keep(_alike(new, asked, words, similarity), f"similar-{name}")
+        edges, compared = (good, new) if edges is None else (edges.union(good), compared.union(new))
+        return not good.isEmpty()
+
+    while True:
+        # Of each bucket: its leader, the component that most of its rows belong to, and how many don't.
+        part = rows.groupBy("h", "to").agg(F.count("*").alias("m"), F.max_by(F.struct("id", "n", "r", "to", "w"), F.struct("w", "id")).alias("x"))
+        bucket = part.groupBy("h").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max("m").alias("most"), F.max_by("to", "m").alias("main"), F.max_by("x", F.struct("x.w", "x.id")).alias("x")).where("parts > 1")
+        bucket = scratch.keep(bucket.select("h", "m", (F.col("m") - F.col("most")).alias("minor"), "main", F.col("x.id").alias("lid"), F.col("x.n").alias("ln"), F.col("x.r").alias("lr"), F.col("x.to").alias("lto")), f"buckets-{k}")
+        total, cost = bucket.agg(F.sum("m"), F.sum(F.col("m") * F.col("minor"))).first()
+        if not total:
+            break
+        if k and (cost <= LINEAR * total or not found):
+            side = scratch.keep(rows.join(bucket.select("h", "main"), "h").withColumn("minor", F.col("to") != F.col("main")).drop("main"), "side")
+            a, b = (side.select(*[F.col(c).alias(f"{c}{x}") for c in side.columns]) for x in "ab")
+            met = a.where("minora").join(b, (F.col("ha") == F.col("hb")) & (F.col("toa") != F.col("tob")) & (~F.col("minorb") | (F.col("ida") < F.col("idb"))) & _reachable("na", "ra", "nb", "rb", similarity))
+            compare(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")), "last")
+            break
+        led = rows.join(bucket.select("h", "lid", "ln", "lr", "lto"), "h")
+        found = compare(led.where((F.col("to") != F.col("lto")) & _reachable("n", "r", "ln", "lr", similarity)).select(F.col("lid").alias("a"), F.col("id").alias("b")), str(k))
+        joined = scratch.keep(components(edges, scratch, f"edges-{k}"), f"joined-{k}") if found else None
+        rows = led.where("id != lid").select("h", "id", "n", "r", "w", "to")  # a leader has met all of its bucket
+        if found:
+            rows = rows.join(joined, F.col("id") == F.col("node"), "left").withColumn("to", F.coalesce("root", "to")).drop("node", "root")
+        rows, k = scratch.keep(rows, f"rows-{k}"), k + 1
+    scratch.drop("asked", "met", "weighed", "side", *[f"{x}-{i}" for i in range(k) for x in ("rows", "buckets", "joined")])
+    if edges is None:
+        return texts.sparkSession.createDataFrame([], "node long, root long")
+    return components(edges, scratch, "classes")
+
+
+def _named_texts(df: DataFrame, doc_id: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(all columns of the different texts, the same as k1, k2, id, doc_id, text)."""
+    whole = _distinct(df, doc_id, text, scratch)
+    at = {c: F.col(f"c{k}") for k, c in enumerate(df.columns)}
+    return whole, whole.select("k1", "k2", "id", at[doc_id].alias("doc_id"), F.coalesce(at[text], F.lit("")).alias("text"))
 
 
 def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, k, root, component_id) of every row: k names the text, root the group that links
-    between similar texts make, and component_id is the group's smallest id.
-
-    Equal texts are one node. Texts without words are alike and like no other text."""
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "similar")
-    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    content = F.when(F.trim(F.translate(content, "\t\n\x0b\x0c\r", "     ")) == "", "").otherwise(content)
-    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(content).alias("k"), content.alias("text"))
-    rows = scratch.keep(src.select("doc_id", "k"), "rows")
-    nodes = scratch.keep(rows.groupBy("k").agg(F.min("doc_id").alias("least")), "nodes")
-    few = nodes.count() <= SENT
-
-    def texts(ids):
-        asked = ids.select(F.col("k").alias("_k"), "least")
-        asked = F.broadcast(asked) if few else asked
-        return src.join(asked, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("k", "text")
-
-    def compare(pairs, name):
-        ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(nodes, "k")
-        sets = scratch.keep(_sets(texts(ids), words).dropDuplicates(["k"]), f"sets-{name}")
-        out = scratch.keep(_alike(pairs, sets, similarity), name)
-        scratch.drop(f"sets-{name}")
-        return out
-
-    all_texts = texts(nodes)
-    rare = scratch.keep(_rarest(all_texts, words, similarity, _often(all_texts, words)), "rare")
-    sized = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
-    # Each text meets the first text of each of its shingles; texts that this has joined need no second look.
-    one = rare.groupBy("h").agg(F.min(F.struct("k", "n")).alias("x"), F.max("k").alias("z")).where("x.k < z").select(F.col("h").alias("_h"), F.col("x.k").alias("a"), F.col("x.n").alias("na"))
-    met = rare.select("h", F.col("k").alias("b"), F.col("n").alias("nb")).join(one, F.col("h") == F.col("_h"))
-    first = compare(scratch.keep(met.where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct(), "met"), "first")
-    joined = scratch.keep(components(first, scratch), "joined").select(F.col("node").alias("_k"), F.col("root").alias("to"))
-    led = rare.join(joined, F.col("k") == F.col("_k"), "left").select("h", "k", "n", F.coalesce("to", "k").alias("to"))
-    open_ = led.groupBy("h").agg(F.min("to").alias("x"), F.max("to").alias("z")).where("x < z").select(F.col("h").alias("_h"))
-    led = scratch.keep(led.join(open_, F.col("h") == F.col("_h"), "left_semi"), "open")
-    side = lambda x: led.select(F.col("h").alias("h" + x), F.col("k").alias(x), F.col("n").alias("n" + x), F.col("to").alias("t" + x))
-    rest = side("a").join(side("b"), (F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b")) & (F.col("ta") != F.col("tb")) & sized).select("a", "b").distinct()
-    rest = scratch.keep(rest.exceptAll(spark.read.parquet(scratch.path("met"))), "rest")
-    edges = scratch.keep(first.union(compare(rest, "second")), "edges")
-    scratch.drop("rare", "met", "joined", "open", "rest", "first", "second")
-    comps = components(edges, scratch)
-    rooted = nodes.join(comps, F.col("k") == F.col("node"), "left").select("k", "least", F.coalesce("root", "k").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(best, "root").select(F.col("k").alias("own"), "root", "component_id")
-    return rows.join(names, F.col("k") == F.col("own")).select("doc_id", "k", "root", "component_id")
+    """(doc_id, component_id) of every row: the smallest id in the group that links between
+    similar texts make, null where no member has one."""
+    scratch = Scratch(df.sparkSession, "similar")
+    _, texts = _named_texts(df, doc_id, text, scratch)
+    classes = scratch.keep(_classes(texts, words, similarity, scratch), "classes")
+    rooted = texts.select("k1", "k2", "id", "doc_id").join(classes, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    least = scratch.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    names = rooted.join(least, "root").select("k1", "k2", "component_id")
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), *_names(_content(text))).join(names, ["k1", "k2"]).select("doc_id", "component_id")
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of similar texts: that with the smallest id, then the smallest name
-    of its text; one without an id stays only where no member of the group has one."""
+    of its text; one without an id stays only where no member of the group has one. Of rows
+    with one text and id, that with the smallest hash of its columns stays."""
     scratch = Scratch(df.sparkSession, "keepers")
-    grouped = scratch.keep(similar(df, doc_id, text, words, similarity), "grouped")
-    one = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.k").alias("_k"))
-    one = scratch.keep(one, "one")
-    same = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    repeated = grouped.join(one, same).groupBy("k").count().where("count > 1").limit(1).count() > 0
-    name = free_name(df, "text_name")
-    keyed = df.withColumn(name, _text_key(text))
-    out = keyed.join(one, (F.col(f"`{name}`") == one["_k"]) & keyed[f"`{doc_id}`"].eqNullSafe(one["_id"]), "left_semi")
-    return (out.dropDuplicates([name]) if repeated else out).drop(name)
+    whole, texts = _named_texts(df, doc_id, text, scratch)
+    classes = scratch.keep(_classes(texts, words, similarity, scratch), "classes")
+    members = scratch.keep(texts.select("k1", "k2", "id", "doc_id").join(classes, F.col("id") == F.col("node")).drop("id", "node"), "members")
+    best = scratch.keep(members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("one")), "best")
+    gone = members.join(best, "root").where((F.col("k1") != F.col("one.k1")) | (F.col("k2") != F.col("one.k2"))).select("k1", "k2")
+    return whole.join(gone, ["k1", "k2"], "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
