@@ -128,3 +128,13 @@ def hash_slices(c: Column) -> tuple[Column, Column]:
     """Two 48-bit hashes of a string, the same in every SQL engine that has md5."""
     part = lambda at: F.conv(F.substring(F.md5(c), at, 12), 16, 10).cast("long")
     return part(1), part(13)
+
+
+def pack_le(n: Column, width: int) -> Column:
+    """A non-negative whole number as so many little-endian bytes, in upper-case hex."""
+    return F.concat(*[F.lpad(F.hex(F.call_function("shiftright", n.cast("long"), F.lit(8 * k)).bitwiseAND(F.lit(255))), 2, "0") for k in range(width)])
+
+
+def unpack_le(digits: Column, width: int) -> Column:
+    """The number that pack_le wrote, for widths up to seven."""
+    return F.conv(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width))]), 16, 10).cast("long")

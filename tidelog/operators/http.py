@@ -15,18 +15,22 @@ def method(c: Column) -> Column:
 
 
 def status(requests: DataFrame, live: DataFrame) -> DataFrame:
-    """The status of each (id, method, target, body_too_large) against the live keys."""
+    """The status of each (id, method, target, body_too_large) against the live keys: keys are validated before methods."""
     path, verb = strip_query(F.col("target")), method(F.col("method"))
     is_kv = path.startswith(PREFIX)
     raw = F.substring(path, len(PREFIX) + 1, 1 << 30)
     parsed = requests.select("id", verb.alias("verb"), path.alias("path"), is_kv.alias("is_kv"), F.when(is_kv, percent_decode(raw)).alias("key"), "body_too_large")
     keyed = parsed.join(live.select("key", F.lit(True).alias("found")), "key", "left")
-    out = F.lit(None).cast("int")
-    out = F.when(F.col("is_kv") & ~F.col("verb").isin("GET", "PUT", "DELETE"), 405)
-    out = out.when(F.col("is_kv") & (F.col("key").isNull() | (F.octet_length("key") == 0) | (F.octet_length("key") > MAX_KEY_LEN)), 400)
+    out = F.when(F.col("is_kv") & (F.col("key").isNull() | (F.octet_length("key") == 0) | (F.octet_length("key") > MAX_KEY_LEN)), 400)
+    out = out.when(F.col("is_kv") & ~F.col("verb").isin("GET", "PUT", "DELETE"), 405)
     out = out.when(F.col("is_kv") & (F.col("verb") == "PUT") & F.col("body_too_large"), 413)
     out = out.when(F.col("is_kv") & F.col("verb").isin("PUT", "DELETE"), 204)
     out = out.when(F.col("is_kv"), F.when(F.col("found"), 200).otherwise(404))
     for p, v in ADMIN.items():
         out = out.when(F.col("path") == p, F.when(F.col("verb") == v, DONE[p]).otherwise(405))
     return keyed.select("id", out.otherwise(404).cast("int").alias("status"))
+
+
+def error_status(kind: Column) -> Column:
+    """The status of an engine's failure by its name."""
+    return F.when(kind == "OutOfMemory", 503).when(kind == "KeyTooLong", 400).otherwise(500)

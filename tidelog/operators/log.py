@@ -1,9 +1,9 @@
 """The mutation log and its segments."""
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidelog.functions import varint_size
+from tidelog.operators.fold import frame, ordered
 from tidelog.schema import MAX_KEY_LEN
 
 SEGMENT_ROWS = 1000
@@ -51,25 +51,26 @@ def segments_by_bytes(log: DataFrame, writer: str, flush_bytes: int) -> DataFram
     """Byte-based memtables of each writer: a table is sealed once what it holds reaches flush_bytes.
 
     Within a table a key's newest value counts, and a deletion counts its key alone. The
-    fold is sequential by definition, so it runs in order within each writer's log."""
+    fold is sequential by definition; its state is one memtable."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        held, used, seg, out = {}, 0, 0, []
-        for key, klen, vlen in zip(pdf["key"], pdf["klen"], pdf["vlen"]):
-            used += vlen - held[key] if key in held else klen + vlen
+    def step(state: dict, rows):
+        segments, used = [], []
+        for key, klen, vlen in zip(rows["key"], rows["klen"], rows["vlen"]):
+            held = state["held"]
+            state["used"] += vlen - held[key] if key in held else klen + vlen
             held[key] = vlen
-            out.append((seg, used))
-            if used >= flush_bytes:
-                held, used, seg = {}, 0, seg + 1
-        return pd.DataFrame({"writer": pdf["writer"].to_numpy(), "seq": pdf["seq"].to_numpy(), "segment": [x[0] for x in out], "bytes_used": [x[1] for x in out]})
+            segments.append(state["segment"])
+            used.append(state["used"])
+            if state["used"] >= flush_bytes:
+                state |= {"held": {}, "used": 0, "segment": state["segment"] + 1}
+        return frame(rows, ["writer", "seq"], segment=segments, bytes_used=used)
 
     sized = log.select(
         F.expr(writer).cast("long").alias("writer"), "seq", "key",
         F.octet_length("key").alias("klen"),
         F.when(F.col("tomb"), 0).otherwise(F.coalesce(F.octet_length("value"), F.lit(0))).alias("vlen"),
     )
-    return sized.groupBy("writer").applyInPandas(fold, "writer long, seq long, segment long, bytes_used long")
+    return ordered(sized, "writer", "seq", lambda: {"held": {}, "used": 0, "segment": 0}, step, "writer long, seq long, segment long, bytes_used long")
 
 
 def last_per(log: DataFrame, *by: str) -> DataFrame:
@@ -96,13 +97,18 @@ def wal_records(log: DataFrame) -> DataFrame:
     )
 
 
-def wal_offsets(records: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Each record's byte offset. Sums of whole segments are scanned first and the inner
-    running sums start from them, so no window holds more than one segment's rows."""
+def wal_offsets(records: DataFrame, rows: int = SEGMENT_ROWS, buckets: int = 1000) -> DataFrame:
+    """Each record's byte offset. Segments' sums are scanned within at most so many buckets of
+    neighbouring segments, and the buckets' sums in one task, so no window grows with the log
+    beyond one bucket's segments."""
     seg = records.withColumn("segment", F.expr(f"seq div {rows}"))
     sums = seg.groupBy("segment").agg(F.sum("size").alias("seg_size"))
-    before = W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select("segment", F.coalesce(F.sum("seg_size").over(before), F.lit(0)).alias("base"))
+    ends = sums.agg(F.min("segment").alias("lo"), F.max("segment").alias("hi"))
+    sums = sums.join(F.broadcast(ends)).withColumn("bucket", F.expr(f"(segment - lo) * {buckets} div (hi - lo + 1)")).drop("lo", "hi")
+    per = sums.groupBy("bucket").agg(F.sum("seg_size").alias("bucket_size"))
+    whole = per.select(F.col("bucket"), F.coalesce(F.sum("bucket_size").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    before = W.partitionBy("bucket").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.join(F.broadcast(whole), "bucket").select("segment", (F.col("above") + F.coalesce(F.sum("seg_size").over(before), F.lit(0))).alias("base"))
     inner = W.partitionBy("segment").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     return seg.join(base, "segment").withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(inner), F.lit(0))).drop("base", "segment")
 

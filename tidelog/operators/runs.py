@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidelog.functions import object_path
 from tidelog.operators.bloom import with_params
+from tidelog.operators.fold import frame, ordered
 from tidelog.operators.log import last_per, with_segment
 
 BLOCK_TARGET = 512
@@ -38,20 +39,20 @@ def manifest(rows: DataFrame) -> DataFrame:
 def block_layout(rows: DataFrame, target: int = BLOCK_TARGET) -> DataFrame:
     """Each entry's block. Blocks roll greedily: one closes when the next entry would pass the target.
 
-    A run is what one flush writes, so its bounded rows are folded inside the engine."""
-    sized = rows.select("run_id", "key", (F.lit(8) + F.octet_length("key") + _vlen()).cast("long").alias("entry"))
-    start = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<key:string,entry:bigint,block:bigint>>)").alias("out"))
+    A run is sorted and streams through one task, which holds the open block's size alone."""
+    sized = rows.select("run_id", "key", (F.lit(8) + F.octet_length("key") + _vlen()).cast("long").alias("entry_bytes"))
 
-    def step(a, x):
-        full = (a["used"] > 0) & (a["used"] + x["entry"] > target)
-        block = a["block"] + F.when(full, F.lit(1)).otherwise(F.lit(0)).cast("long")
-        used = F.when(full, x["entry"]).otherwise(a["used"] + x["entry"])
-        placed = F.struct(x["key"].alias("key"), x["entry"].alias("entry"), block.alias("block"))
-        return F.struct(block.alias("block"), used.alias("used"), F.concat(a["out"], F.array(placed)).alias("out"))
+    def step(state: dict, part):
+        out, block, used = [], state["block"], state["used"]
+        for entry in part["entry_bytes"].tolist():
+            if used and used + entry > target:
+                block, used = block + 1, 0
+            used += entry
+            out.append(block)
+        state |= {"block": block, "used": used}
+        return frame(part, ["run_id", "key", "entry_bytes"], block_no=out)[["run_id", "block_no", "key", "entry_bytes"]]
 
-    folded = sized.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("key", "entry"))).alias("xs")).select(
-        "run_id", F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("x"))
-    return folded.select("run_id", F.col("x.block").alias("block_no"), F.col("x.key").alias("key"), F.col("x.entry").alias("entry_bytes"))
+    return ordered(sized, "run_id", "key", lambda: {"block": 0, "used": 0}, step, "run_id long, block_no long, key string, entry_bytes long")
 
 
 def sparse_index(layout: DataFrame) -> DataFrame:
@@ -64,8 +65,9 @@ def sparse_index(layout: DataFrame) -> DataFrame:
 def lower_bound(index: DataFrame, probes: DataFrame) -> DataFrame:
     """The first indexed key that isn't below each probe, in every run; null past the last.
 
-    Probes and index entries are merged in key order and the next entry is carried
-    backwards, so the work is a sort and not a product."""
+    Probes and index entries are merged in key order and the next entry is carried backwards.
+    The result has a row for each probe and run, since each run answers each probe; a get
+    asks few keys, and whoever asks many cuts the runs by `key_ranges` first."""
     runs = index.select("run_id").distinct()
     asked = probes.select("key").distinct().join(runs).select("run_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("long").alias("block_offset"))
     have = index.select("run_id", F.col("last_key").alias("key"), F.lit(1).alias("kind"), "last_key", "block_offset")

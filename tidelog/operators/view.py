@@ -15,7 +15,7 @@ def live(log: DataFrame) -> DataFrame:
 
 
 def point_get(log: DataFrame, key: str) -> DataFrame:
-    """The filter reaches the scan because it is on the grouping key."""
+    """The filter comes before the aggregation. It reaches the files where the log holds the key as a column, as runs do."""
     return live(log.where(F.col("key") == key))
 
 
@@ -49,15 +49,15 @@ def read_tier(log: DataFrame) -> DataFrame:
 def read_amplification(log: DataFrame) -> DataFrame:
     """Segments that a get looks into before its hit: all newer ones, or those whose key range covers it.
 
-    The ranges are one row for each segment; keys meet them in a range join."""
+    The ranges are one row for each segment, as in a manifest, and go to the keys as one list."""
     seg = with_segment(log)
     ranges = seg.groupBy("segment").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     hit = seg.groupBy("key").agg(F.max("segment").alias("hit"))
-    return (
-        hit.join(ranges, F.col("segment") > F.col("hit"), "left")
-        .groupBy("key", "hit")
-        .agg(F.count("segment").alias("newer"), F.count(F.when(F.col("key").between(F.col("lo"), F.col("hi")), 1)).alias("newer_in_range"))
-    )
+    held = ranges.agg(F.array_sort(F.collect_list(F.struct("segment", "lo", "hi"))).alias("all"))
+    newer = F.filter("all", lambda r: r["segment"] > F.col("hit"))
+    return hit.join(F.broadcast(held)).select(
+        "key", "hit", F.size(newer).cast("long").alias("newer"),
+        F.size(F.filter(newer, lambda r: F.col("key").between(r["lo"], r["hi"]))).cast("long").alias("newer_in_range"))
 
 
 def range_scan(log: DataFrame, lo: str, hi: str) -> DataFrame:

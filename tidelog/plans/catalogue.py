@@ -56,19 +56,19 @@ def _accesses(spark, d):
 def _requests(spark, d):
     live = view.live(_log(spark, d)).select("key")
     e = spark.read.parquet(f"{d}/events.parquet")
-    n = F.pmod("event_id", F.lit(12))
-    verb = F.element_at(F.array(*[F.lit(v) for v in ("GET", "PUT", "DELETE", "GET", "POST", "GET", "PATCH", "GET", "PUT", "GET", "POST", "GET")]), (n + 1).cast("int"))
+    n = F.pmod("event_id", F.lit(16))
+    verb = F.element_at(F.array(*[F.lit(v) for v in ("GET", "PUT", "DELETE", "GET", "POST", "GET", "PATCH", "GET", "PUT", "GET", "POST", "GET", "POST", "PATCH", "POST", "PATCH")]), (n + 1).cast("int"))
     user = F.format_string("u%%2F%06d", "user_id")
     target = (
         F.when(n <= 3, F.concat(F.lit("/v1/kv/"), user)).when(n == 4, F.lit("/admin/flush")).when(n == 5, F.lit("/healthz?probe=1"))
         .when(n == 6, F.lit("/admin/stats")).when(n == 7, F.lit("/v1/kv/a%ZZ")).when(n == 8, F.concat(F.lit("/v1/kv/big"), user))
-        .when(n == 9, F.lit("/v1/kv/")).when(n == 10, F.lit("/v1/kv/x")).otherwise(F.concat(F.lit("/v1/kv/"), F.repeat(F.lit("k"), 4097))))
+        .when(n.isin(9, 12), F.lit("/v1/kv/")).when(n == 10, F.lit("/v1/kv/x")).when(n == 13, F.lit("/v1/kv/a%ZZ")).when(n == 15, F.concat(F.lit("/v1/kv/"), user)).otherwise(F.concat(F.lit("/v1/kv/"), F.repeat(F.lit("k"), 4097))))
     return e.select(F.col("event_id").alias("id"), verb.alias("method"), target.alias("target"), (n == 8).alias("body_too_large")), live
 
 
 def _cas(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return trace.cas(e.select(F.col("event_type").alias("object"), F.col("event_id").alias("seq"), F.format_string("w%d", F.pmod("user_id", F.lit(2))).alias("writer"), F.expr("event_id div 3").alias("expected_gen")))
+    return trace.cas(e.select(F.col("event_type").alias("object"), F.col("event_id").alias("seq"), F.format_string("w%d", F.pmod("user_id", F.lit(2))).alias("writer"), F.expr("greatest(event_id div 100 + user_id % 3 - 1, 0)").alias("expected_gen")))
 
 
 def _ledger(spark, d):
@@ -106,7 +106,12 @@ register("kv_range_scan", f"WITH {RANKED} {LIVE} AND key BETWEEN 'u/000003' AND
 register("stats_snapshot", f"WITH {LOG}, T AS (SELECT max(segment) AS top FROM L) SELECT count(DISTINCT CASE WHEN segment < top THEN segment END) AS sstables, count(DISTINCT CASE WHEN segment = top THEN key END) AS active_entries, CAST(0 AS BIGINT) AS compaction_failures FROM L, T")(lambda s, d: view.stats(_log(s, d)))
 register("stats_json", f"WITH {LOG}, T AS (SELECT max(segment) AS top FROM L) SELECT '{{\"sstables\":' || count(DISTINCT CASE WHEN segment < top THEN segment END) || ',\"active_entries\":' || count(DISTINCT CASE WHEN segment = top THEN key END) || ',\"compaction_failures\":0}}' AS body FROM L, T")(lambda s, d: view.stats(_log(s, d)).select(F.to_json(F.struct("*")).alias("body")))
 register("mem_segment_count", f"WITH {LOG} SELECT segment, count(*) AS writes, min(seq) AS first_seq, max(seq) AS last_seq FROM L GROUP BY segment")(lambda s, d: L.with_segment(_log(s, d)).groupBy("segment").agg(F.count("*").alias("writes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")))
-register("mem_segment_bytes")(lambda s, d: L.segments_by_bytes(_log(s, d), "pmod(cast(substr(key, 3) as bigint), 4)", 2048))
+register("mem_segment_bytes", f"""WITH RECURSIVE {LOG}, E AS (SELECT CAST(substr(key, 3) AS BIGINT) % 4 AS writer, seq, key, strlen(key) AS klen, {VLEN} AS vlen FROM L),
+  N AS (SELECT *, row_number() OVER (PARTITION BY writer ORDER BY seq) AS rn FROM E), P AS (SELECT *, lag(rn) OVER k AS was, lag(vlen) OVER k AS had FROM N WINDOW k AS (PARTITION BY writer, key ORDER BY seq)),
+  S AS (SELECT writer, seq, rn, CAST(0 AS BIGINT) AS segment, rn AS since, CAST(klen + vlen AS BIGINT) AS used FROM P WHERE rn = 1
+    UNION ALL SELECT p.writer, p.seq, p.rn, CASE WHEN s.used >= 2048 THEN s.segment + 1 ELSE s.segment END, CASE WHEN s.used >= 2048 THEN p.rn ELSE s.since END,
+      CASE WHEN s.used >= 2048 THEN p.klen + p.vlen WHEN p.was >= s.since THEN s.used + p.vlen - p.had ELSE s.used + p.klen + p.vlen END
+    FROM S s JOIN P p ON p.writer = s.writer AND p.rn = s.rn + 1) SELECT writer, seq, segment, used AS bytes_used FROM S""")(lambda s, d: L.segments_by_bytes(_log(s, d), "pmod(cast(substr(key, 3) as bigint), 4)", 2048))
 register("mem_counters", f"WITH {RUNS} SELECT run_id AS segment, count(*) AS entry_count, CAST(sum(strlen(key) + {VLEN}) AS BIGINT) AS bytes_used FROM R GROUP BY run_id")(lambda s, d: L.mem_counters(_log(s, d)))
 register("run_rows", f"WITH {RUNS} SELECT run_id, key, seq, value, tomb FROM R")(lambda s, d: _runs(s, d).select("run_id", "key", "seq", "value", "tomb"))
 register("run_footer_stats", f"WITH {RUNS} SELECT run_id, count(*) AS entry_count, CAST(sum(strlen(key) + {VLEN}) AS BIGINT) AS payload_bytes FROM R GROUP BY run_id")(lambda s, d: R.footer_stats(_runs(s, d)))
@@ -134,14 +139,18 @@ register("wal_torn_tail", f"WITH {WAL} SELECT seq, key, tag FROM S WHERE seq < (
 register("fn_varint_size", f"SELECT o_orderkey AS n, CAST({SIZE('o_orderkey * o_orderkey')} AS BIGINT) AS size FROM orders")(lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("n"), fn.varint_size(F.col("o_orderkey") * F.col("o_orderkey")).alias("size")))
 register("fn_varint_encode", """SELECT n, CASE WHEN n < 128 THEN lpad(hex(n), 2, '0') WHEN n < 16384 THEN hex(n % 128 + 128) || lpad(hex(n // 128), 2, '0')
   ELSE hex(n % 128 + 128) || hex(n // 128 % 128 + 128) || lpad(hex(n // 16384), 2, '0') END AS encoded FROM (SELECT o_orderkey AS n FROM orders)""")(lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("n"), fn.varint_encode(F.col("o_orderkey")).alias("encoded")))
-register("fn_crc32c")(lambda s, d: _log(s, d).select("seq", fn.crc32c(F.coalesce("value", "key")).alias("crc")))
+register("fn_crc32c", f"""WITH {LOG}, T AS (SELECT list(c ORDER BY i) AS crc_table FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT) FOR x IN range(0, 8)]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 2197175160) ELSE a // 2 END) AS c FROM range(0, 256) r(i))),
+  B AS (SELECT seq, hex(encode(coalesce(value, key))) AS digits FROM L)
+  SELECT seq, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(concat('0x', substr(digits, 2 * k + 1, 2)) AS BIGINT) FOR k IN range(0, len(digits) // 2)]), lambda a, b: xor(crc_table[xor(a % 256, b) + 1], a // 256)), 4294967295) AS crc FROM B, T""")(lambda s, d: _log(s, d).select("seq", fn.crc32c(F.coalesce("value", "key")).alias("crc")))
 register("fn_percent_decode", "SELECT page_id, url_decode(replace(split_part(url, '?', 1), '+', '%2B')) AS path FROM pages")(lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", fn.percent_decode(fn.strip_query(F.col("url"))).alias("path")))
 register("fn_url_encode", "SELECT page_id, replace(url_encode(url), '%2F', '/') AS encoded FROM pages")(lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", fn.percent_encode_path(F.col("url")).alias("encoded")))
 register("fn_range_header", "SELECT o_orderkey AS id, 'bytes=' || o_orderkey || '-' || (o_orderkey + o_custkey) AS header, o_orderkey AS first, o_orderkey + o_custkey AS last FROM orders")(lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), fn.range_header(F.col("o_orderkey"), F.col("o_custkey") + 1).alias("header")).withColumn("r", fn.parse_range(F.col("header"))).select("id", "header", "r.first", "r.last"))
 register("fn_parse_port", "SELECT o_orderkey AS id, CASE WHEN o_orderkey * 7 <= 65535 THEN CAST(o_orderkey * 7 AS INTEGER) END AS port FROM orders")(lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), fn.parse_port((F.col("o_orderkey") * 7).cast("string")).alias("port")))
-register("http_status", f"""WITH {RANKED}, A AS (SELECT key FROM N WHERE rn = 1 AND NOT tomb), Q AS (SELECT event_id AS id, event_id % 12 AS n, 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key FROM events)
+register("fn_pack_le", "SELECT o_orderkey AS n, lpad(hex(o_orderkey % 256), 2, '0') || lpad(hex(o_orderkey // 256 % 256), 2, '0') || lpad(hex(o_orderkey // 65536 % 256), 2, '0') || lpad(hex(o_orderkey // 16777216), 2, '0') AS packed, o_orderkey AS back FROM orders")(lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("n"), fn.pack_le(F.col("o_orderkey"), 4).alias("packed")).withColumn("back", fn.unpack_le(F.col("packed"), 4)))
+register("error_status", "SELECT event_id AS id, CAST(CASE event_id % 4 WHEN 0 THEN 503 WHEN 1 THEN 400 ELSE 500 END AS INTEGER) AS status FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), http.error_status(F.element_at(F.array(*[F.lit(x) for x in ("OutOfMemory", "KeyTooLong", "Conflict", "Io")]), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))).alias("status")))
+register("http_status", f"""WITH {RANKED}, A AS (SELECT key FROM N WHERE rn = 1 AND NOT tomb), Q AS (SELECT event_id AS id, event_id % 16 AS n, 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key FROM events)
   SELECT id, CAST(CASE WHEN n IN (1, 2) THEN 204 WHEN n IN (0, 3) THEN CASE WHEN key IN (SELECT key FROM A) THEN 200 ELSE 404 END WHEN n = 4 THEN 204 WHEN n = 5 THEN 200 WHEN n = 6 THEN 405
-    WHEN n = 7 THEN 400 WHEN n = 8 THEN 413 WHEN n = 9 THEN 400 WHEN n = 10 THEN 405 ELSE 400 END AS INTEGER) AS status FROM Q""")(lambda s, d: http.status(*_requests(s, d)))
+    WHEN n = 7 THEN 400 WHEN n = 8 THEN 413 WHEN n = 9 THEN 400 WHEN n IN (10, 15) THEN 405 ELSE 400 END AS INTEGER) AS status FROM Q""")(lambda s, d: http.status(*_requests(s, d)))
 register("bloom_params", f"WITH {RUNS}, {PARAMS} SELECT run_id, n, m, k FROM M")(lambda s, d: bloom.build(_runs(s, d))[0])
 register("bloom_probe", f"""WITH {RUNS}, {PARAMS}, {PROBES}, W AS (SELECT DISTINCT run_id, ({HASH(1)} + i * {HASH(13)}) % m AS bit FROM (SELECT r.run_id, r.key, m, unnest(range(0, k)) AS i FROM R r JOIN M ON M.run_id = r.run_id)),
   Z AS (SELECT run_id, key, m, unnest(range(0, k)) AS i FROM P, M), C AS (SELECT z.run_id, z.key, count(*) = count(w.bit) AS candidate FROM Z z LEFT JOIN W w ON w.run_id = z.run_id AND w.bit = ({HASH(1).replace('key', 'z.key')} + z.i * {HASH(13).replace('key', 'z.key')}) % z.m GROUP BY z.run_id, z.key)
@@ -152,9 +161,24 @@ register("prefetch_transitions", f"WITH {ACC} SELECT stream, key, arg_max(next_k
 register("prefetch_predictions", f"WITH {ACC} SELECT stream, seq, key, last_value(CASE WHEN next_key <> key THEN next_key END IGNORE NULLS) OVER (PARTITION BY stream, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted, next_key FROM S")(lambda s, d: trace.prefetch_predictions(_accesses(s, d)))
 register("lru_hits", f"""WITH {ACC}, P AS (SELECT *, lag(seq) OVER (PARTITION BY cache_id, key ORDER BY seq) AS prev FROM A)
   SELECT p.cache_id, p.seq, p.prev IS NOT NULL AND count(DISTINCT q.key) < 16 AS hit FROM P p LEFT JOIN A q ON q.cache_id = p.cache_id AND q.seq > p.prev AND q.seq < p.seq GROUP BY p.cache_id, p.seq, p.prev""")(lambda s, d: trace.lru(_accesses(s, d), 16))
-register("block_cache_hits")(lambda s, d: trace.byte_lru(_accesses(s, d), 4000))
-register("admission_ledger")(lambda s, d: trace.admission(_ledger(s, d), 2000))
-register("manifest_cas", "SELECT event_type AS object, event_id AS seq, 'w' || (user_id % 2) AS writer, event_id // 3 AS expected_gen, CASE WHEN row_number() OVER (PARTITION BY event_type, event_id // 3 ORDER BY event_id) = 1 THEN 'committed' ELSE 'conflict' END AS outcome FROM events")(_cas)
+register("block_cache_hits", """WITH RECURSIVE A AS (SELECT user_id % 4 AS cache_id, event_id AS seq, 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, CAST(event_id % 7 * 100 + 50 AS BIGINT) AS bytes,
+  row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS rn FROM events),
+  C AS (SELECT cache_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, '' AS outcome, CAST([] AS VARCHAR[]) AS keys, CAST([] AS BIGINT[]) AS sizes FROM A WHERE rn = 1
+    UNION ALL SELECT cache_id, rn, seq, outcome, CASE outcome WHEN 'hit' THEN list_append(list_concat(list_slice(keys, 1, spot - 1), list_slice(keys, spot + 1, len(keys))), key) WHEN 'miss' THEN list_append(list_slice(keys, gone + 1, len(keys)), key) ELSE keys END,
+      CASE outcome WHEN 'hit' THEN list_append(list_concat(list_slice(sizes, 1, spot - 1), list_slice(sizes, spot + 1, len(sizes))), sizes[spot]) WHEN 'miss' THEN list_append(list_slice(sizes, gone + 1, len(sizes)), bytes) ELSE sizes END
+    FROM (SELECT a.cache_id, a.rn, a.seq, a.key, a.bytes, c.keys, c.sizes, list_position(c.keys, a.key) AS spot, CASE WHEN list_contains(c.keys, a.key) THEN 'hit' WHEN a.bytes > 4000 THEN 'refused' ELSE 'miss' END AS outcome,
+      (SELECT min(i) FROM range(0, len(c.sizes) + 1) t(i) WHERE coalesce(list_sum(list_slice(c.sizes, i + 1, len(c.sizes))), 0) + a.bytes <= 4000) AS gone FROM C c JOIN A a ON a.cache_id = c.cache_id AND a.rn = c.rn + 1))
+  SELECT cache_id, seq, outcome, CAST(coalesce(list_sum(sizes), 0) AS BIGINT) AS used FROM C WHERE rn > 0""")(lambda s, d: trace.byte_lru(_accesses(s, d), 4000))
+register("admission_ledger", """WITH RECURSIVE E AS (SELECT user_id % 4 AS ledger, event_id AS seq, event_id % 3 = 2 AS free, CAST(event_id % 7 * 100 + 50 AS BIGINT) AS bytes, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS rn FROM events),
+  S AS (SELECT ledger, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, TRUE AS ok, CAST(0 AS BIGINT) AS live, CAST(0 AS BIGINT) AS refused FROM E WHERE rn = 1
+    UNION ALL SELECT e.ledger, e.rn, e.seq, e.free OR s.live + e.bytes <= 2000, CASE WHEN e.free THEN greatest(0, s.live - e.bytes) WHEN s.live + e.bytes <= 2000 THEN s.live + e.bytes ELSE s.live END,
+      s.refused + CASE WHEN e.free OR s.live + e.bytes <= 2000 THEN 0 ELSE 1 END FROM S s JOIN E e ON e.ledger = s.ledger AND e.rn = s.rn + 1)
+  SELECT ledger, seq, ok, live, refused FROM S WHERE rn > 0""")(lambda s, d: trace.admission(_ledger(s, d), 2000))
+register("manifest_cas", """WITH RECURSIVE E AS (SELECT event_type AS object, event_id AS seq, 'w' || (user_id % 2) AS writer, greatest(event_id // 100 + user_id % 3 - 1, 0) AS expected_gen,
+  row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+  G AS (SELECT object, rn, CAST(0 AS BIGINT) AS gen, expected_gen AS expects FROM E WHERE rn = 1
+    UNION ALL SELECT e.object, e.rn, g.gen + CASE WHEN g.expects = g.gen THEN 1 ELSE 0 END, e.expected_gen FROM G g JOIN E e ON e.object = g.object AND e.rn = g.rn + 1)
+  SELECT e.object, e.seq, e.writer, e.expected_gen, CASE WHEN e.expected_gen = g.gen THEN 'committed' ELSE 'conflict' END AS outcome FROM E e JOIN G g ON g.object = e.object AND g.rn = e.rn""")(_cas)
 register("stream_live_view", f"WITH {RANKED} {LIVE}")(ingest.live_view)
 
 # The SQL of the queries of these names without _all looks up ids below 400 only; these look up
