@@ -18,15 +18,19 @@ EVENTS = T.StructType([
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is named."""
+    """The folder that driver and executors share; where none is named, one in the warehouse on a
+    cluster and a temporary one in local mode."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return named or f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
 
 
-def ingest(spark: SparkSession, sf_dir: str, out: str, max_files: int = 1) -> str:
-    """Reads events as a stream and writes runs to out. A replayed batch overwrites its own run."""
+def ingest(spark: SparkSession, sf_dir: str, out: str, max_files: int = 1, pattern: str = "events*.parquet") -> str:
+    """Reads event files as a stream and writes runs to out, one for each micro-batch of so many
+    files. A replayed batch overwrites its own run, and a call with the same folder goes on after the last one."""
     tomb = F.col("event_type") == "error"
-    log = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", max_files).parquet(sf_dir).select(
+    log = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).parquet(sf_dir).select(
         F.col("event_id").alias("seq"), F.format_string("u/%06d", "user_id").alias("key"), F.when(~tomb, F.col("props")).alias("value"), tomb.alias("tomb"))
 
     def flush(batch: DataFrame, batch_id: int) -> None:
