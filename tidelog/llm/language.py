@@ -4,7 +4,11 @@ The text model is naive Bayes over hashed character trigrams, fitted on a bounde
 of rows with a declared language (SAMPLE rows a language, of FIT_CHARS characters at
 most; longer ones are left out of the fit, never cut). Scores of a text are averaged and weighted like WEIGHT
 trigrams, since trigrams of one text aren't independent. Priors of hosts are counts of all
-rows by host, smoothed towards those of their address suffix, and these towards the whole.
+rows by host, smoothed towards those of their address suffix, and these towards the whole;
+a row's own declaration doesn't count in its host's prior.
+
+Languages are those that at least SUPPORT rows declare, MOST_LANGUAGES at most; all else is
+"other", whose trigrams are all equally likely, and is not accepted.
 
 A null or empty text, or one without letters, has no evidence of its own and is rejected;
 null declarations, suffixes and hosts say nothing; ties go to the first language in order;
@@ -22,8 +26,7 @@ from tidelog.llm.shared import Scratch, sliced
 
 SAMPLE, FIT_CHARS, BUCKETS, WEIGHT = 1500, 20_000, 1 << 16, 60
 TRUST, HOST_PULL, SUFFIX_PULL, LEAST = 0.9, 20.0, 50.0, 0.5
-#: Hosts whose priors are sent to the rows; with more, both are dealt by host.
-HOSTS = 100_000
+SUPPORT, MOST_LANGUAGES, OTHER = 3, 200, "other"
 
 
 def _letters() -> np.ndarray:
@@ -48,81 +51,106 @@ def trigrams(text: str, table: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.int64)
 
 
+def languages_of(rows: DataFrame) -> list[str]:
+    """What at least SUPPORT rows declare, in order; the most frequent MOST_LANGUAGES of them."""
+    n = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    return sorted(r["declared"] for r in n.orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect())
+
+
 def fit(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log likelihoods of (bucket, language), centred on their mean over languages."""
+    """Log likelihoods of (bucket, language), the last column being any other, centred on their mean."""
     usable = rows.where(F.col("declared").isin(languages) & F.length("text").between(40, FIT_CHARS))
     n = dict(usable.groupBy("declared").count().collect())
     share = F.lit(0.0)
     for k, v in n.items():
         share = F.when(F.col("declared") == k, min(1.0, SAMPLE / v)).otherwise(share)
-    picked = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE * len(languages))
+    picked = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE * max(1, len(languages)))
     table, counts = _letters(), np.full((BUCKETS, len(languages)), 0.05)
     for r in picked.select("declared", "text").collect():
         np.add.at(counts[:, languages.index(r["declared"])], trigrams(r["text"], table), 1)
-    logs = np.log(counts / counts.sum(axis=0))
+    logs = np.log(counts / counts.sum(axis=0)) if languages else counts
     seen = counts.sum(axis=0) > 0.06 * BUCKETS
-    if not seen.any():
-        return np.zeros(counts.shape, np.float32)
-    logs[:, ~seen] = logs[:, seen].min(axis=1, keepdims=True)  # a language without rows wins no text
+    if seen.any():
+        logs[:, ~seen] = logs[:, seen].min(axis=1, keepdims=True)  # a language without rows wins no text
+    else:
+        logs[:] = -np.log(BUCKETS)
+    logs = np.hstack([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))])
     return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def priors(rows: DataFrame, languages: list[str]) -> tuple[DataFrame, list[float]]:
-    """(suffix, host, prior): log priors of each host, and those of all rows together.
+def priors(rows: DataFrame, languages: list[str], suffixes: bool = True) -> tuple[DataFrame, list[float]]:
+    """(suffix, host, n, mid): rows of each host by language, any other last, and what they are
+    smoothed towards; and the shares in all rows together.
 
     Rows are counted by suffix and host in one grouped aggregation; suffixes and the whole are sums of its rows."""
+    known = F.col("declared").isin(languages) if languages else F.lit(False)
     n = [F.count(F.when(F.col("declared") == v, 1)).cast("double").alias(f"n{k}") for k, v in enumerate(languages)]
+    n.append(F.count(F.when(F.col("declared").isNotNull() & ~known, 1)).cast("double").alias(f"n{len(languages)}"))
     hosts = rows.groupBy(F.coalesce("suffix", F.lit("")).alias("suffix"), F.coalesce("host", F.lit("")).alias("host")).agg(*n)
-    add = [F.sum(f"n{k}").alias(f"m{k}") for k in range(len(languages))]
-    suffixes = hosts.groupBy("suffix").agg(*add)
-    top = suffixes.agg(*[F.sum(f"m{k}") for k in range(len(languages))]).first()
+    ks = range(len(n))
+    by_suffix = hosts.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"m{k}") for k in ks])
+    top = by_suffix.agg(*[F.sum(f"m{k}") for k in ks]).first()
     total = sum(x or 0.0 for x in top)
-    whole = [((x or 0.0) + 1) / (total + len(languages)) for x in top]
-    size = lambda p: sum((F.col(f"{p}{k}") for k in range(len(languages))), F.lit(0.0))
-    mid = suffixes.select("suffix", F.array(*[(F.col(f"m{k}") + SUFFIX_PULL * w) / (size("m") + SUFFIX_PULL) for k, w in enumerate(whole)]).alias("mid"))
-    smooth = F.array(*[F.log((F.col(f"n{k}") + HOST_PULL * F.col("mid")[k]) / (size("n") + HOST_PULL)) for k in range(len(languages))])
-    return hosts.join(mid, "suffix").select("suffix", "host", smooth.alias("prior")), [math.log(w) for w in whole]
+    whole = [((x or 0.0) + 1) / (total + len(n)) for x in top]
+    size = sum((F.col(f"m{k}") for k in ks), F.lit(0.0))
+    if not suffixes:  # one suffix for all: the whole is all there is to smooth towards
+        return hosts.select("suffix", "host", F.array(*[f"n{k}" for k in ks]).alias("n"), F.array(*[F.lit(w) for w in whole]).alias("mid")), whole
+    mid = by_suffix.select("suffix", F.array(*[(F.col(f"m{k}") + SUFFIX_PULL * w) / (size + SUFFIX_PULL) for k, w in enumerate(whole)]).alias("mid"))
+    return hosts.select("suffix", "host", F.array(*[f"n{k}" for k in ks]).alias("n")).join(mid, "suffix"), whole
+
+
+def host_prior(n, mid, own: int | None) -> np.ndarray:
+    """Log prior of a row at a host, its own declaration left out."""
+    n = np.array(n)
+    if own is not None:
+        n[own] = max(0.0, n[own] - 1)
+    return np.log((n + HOST_PULL * np.array(mid)) / (n.sum() + HOST_PULL))
+
 
+def identify(df: DataFrame, text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, languages: tuple[str, ...] | None = None, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The carried columns with lang_id, confidence and accepted; with keep, the accepted rows as they came.
 
-def identify(df: DataFrame, text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, languages: tuple[str, ...] = ("de", "en", "es", "fr"), keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The carried columns with lang_id, confidence and accepted; with keep, the accepted rows as they came."""
-    langs, spark = sorted(languages), df.sparkSession
+    Without `languages`, the declared ones are taken. Priors go to the rows by a join that Spark
+    broadcasts only while they are small; else it deals both by host and splits hot hosts."""
+    spark = df.sparkSession
     scratch = Scratch(spark, "language")
     col = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    said = F.lower(F.substring(F.trim(col(declared)), 1, 2))
+    said = F.nullif(F.lower(F.substring(F.trim(col(declared)), 1, 2)), F.lit(""))
     evidence = df.select(F.coalesce(col(text), F.lit("")).alias("text"), said.alias("declared"), F.lower(col(suffix)).alias("suffix"), F.lower(col(host)).alias("host"))
+    langs = languages_of(evidence) if languages is None else sorted(languages)
     model = fit(evidence, langs)
-    by_host, whole = priors(evidence, langs)
+    by_host, whole = priors(evidence, langs, suffix is not None)
     by_host = scratch.keep(by_host, "priors")
-    small = by_host.count() <= HOSTS
     passed = df.columns if keep else list(carry)
     rows = df.select(
         *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(passed)], F.coalesce(col(text), F.lit("")).alias("_text"), said.alias("_declared"),
         F.coalesce(F.lower(col(suffix)), F.lit("")).alias("_suffix"), F.coalesce(F.lower(col(host)), F.lit("")).alias("_host"))
-    by_host = by_host.select(F.col("suffix").alias("_s"), F.col("host").alias("_h"), F.col("prior").alias("_prior"))
-    met = rows.join(F.broadcast(by_host) if small else by_host, (F.col("_suffix") == F.col("_s")) & (F.col("_host") == F.col("_h")), "left").drop("_s", "_h", "_suffix", "_host")
-    sure, other = math.log(TRUST), math.log((1 - TRUST) / max(1, len(langs) - 1))
+    by_host = by_host.select(F.col("suffix").alias("_s"), F.col("host").alias("_h"), F.col("n").alias("_n"), F.col("mid").alias("_mid"))
+    met = rows.join(by_host, (F.col("_suffix") == F.col("_s")) & (F.col("_host") == F.col("_h")), "left").drop("_s", "_h", "_suffix", "_host")
+    sure, unsure = math.log(TRUST), math.log((1 - TRUST) / max(1, len(langs)))
     sent, n = spark.sparkContext.broadcast(model), len(passed)
     names = [f.name for f in df.schema] if keep else [*carry, "lang_id", "confidence", "accepted"]
 
     def work(batches):
         table, logs = _letters(), sent.value
-        base = np.array(whole)
+        at, classes = {x: k for k, x in enumerate(langs)}, [*langs, OTHER]
+        base, spread = np.log(whole), np.arange(len(classes))
         for b in sliced(batches, n):
             best, conf, ok = [], [], []
-            for t, d, p in zip(*(b.column(n + k).to_pylist() for k in range(3))):
+            for t, d, c, m in zip(*(b.column(n + k).to_pylist() for k in range(4))):
                 g = trigrams(t, table)
-                score = base.copy() if p is None else np.array(p)
+                own = None if d is None else at.get(d, len(langs))
+                score = base.copy() if c is None else host_prior(c, m, own)
                 if len(g):
                     score = score + logs[g].sum(axis=0, dtype=np.float64) * (min(len(g), WEIGHT) / len(g))
-                if d in langs:
-                    score = score + np.where(np.arange(len(langs)) == langs.index(d), sure, other)
+                if own is not None:
+                    score = score + np.where(spread == own, sure, unsure)
                 e = np.exp(score - score.max())
                 e /= e.sum()
                 k = int(e.argmax())
-                best.append(langs[k])
+                best.append(classes[k])
                 conf.append(float(e[k]))
-                ok.append(bool(len(g)) and conf[-1] >= LEAST)
+                ok.append(bool(len(g)) and k < len(langs) and conf[-1] >= LEAST)
             cols = [b.column(k) for k in range(n)]
             if keep:
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in cols], [f"c{k}" for k in range(n)])
