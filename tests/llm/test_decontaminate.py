@@ -71,3 +71,27 @@ def test_whole_table(spark, sf):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     got = sorted((tuple(r)[:6] for r in decontaminate.op4(spark, sf).collect()), key=repr)
     assert got == brute(docs, items)
+
+
+def test_one_very_long_item_is_cut_without_loss(frame, spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    w = [f"w{k}" for k in range(150)]
+    items = [("long", " ".join(w)), ("long", " ".join(w)), ("short", "a b c"), ("eight", " ".join(w[20:28]))]
+    docs = [(k, " ".join(["x", *w[k : k + 8], "y"])) for k in range(0, 143)] + [(200, " ".join(w)), (201, "z a b c z"), (202, None)]
+    got = decontaminate.scan(frame(docs), spark.createDataFrame(items, "item_id string, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()) == sorted((d, n, h, len(i)) for d, n, h, i in counted(docs, items))
+
+
+def counted(docs, items, window=8):
+    """(doc_id, words, hit words, items) by looking for each window everywhere."""
+    for d, t in docs:
+        w, hit, found = (t or "").split(), set(), set()
+        for name, text in items:
+            v = text.split()
+            for k in range(max(1, len(v) - window + 1)):
+                part = v[k : k + window]
+                for p in range(len(w) - len(part) + 1):
+                    if w[p : p + len(part)] == part:
+                        hit |= set(range(p, p + len(part)))
+                        found.add(name)
+        yield d, len(w), len(hit), found

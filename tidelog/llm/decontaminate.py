@@ -24,6 +24,8 @@ from tidelog.llm.shared import sliced, texts_of
 
 WINDOW, DEPTH, BITS = 8, 3, 21  # three words of 21 bits in each of three sort keys
 BLOCK_BYTES, SHARD_WORDS = 8 << 20, 1 << 20
+#: Words of a block of tests; a longer item is cut into overlapping pieces, which lose no window.
+BLOCK_WORDS = 1 << 20
 
 #: Digits, a-z and all beyond ASCII are words; A-Z are lower-cased; the rest is space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -44,8 +46,6 @@ class Tests:
             if w:
                 self.names.append(name)
                 self.items.append(np.array(w, np.int64))
-        if len(self.vocabulary) >= (1 << BITS) - 1:
-            raise ValueError("too many test words in one block")
         spots = [(k, at, min(window, len(w))) for k, w in enumerate(self.items) for at in range(max(1, len(w) - window + 1))]
         self.item = np.array([s[0] for s in spots], np.int64)
         self.at = np.array([s[1] for s in spots], np.int64)
@@ -110,19 +110,35 @@ def longest(tests: Tests, ids: np.ndarray, which: np.ndarray, places: np.ndarray
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int) -> list:
-    """The test set as broadcasts, each made from at most about BLOCK_BYTES of text."""
+    """The test set as broadcasts, each made from at most about BLOCK_BYTES of text and BLOCK_WORDS
+    words; repeated rows count once."""
     spark = benchmark.sparkSession
-    b = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    b = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).distinct()
     total = b.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-2 * total // BLOCK_BYTES))
     out = []
     for k in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        rows = sorted((r["name"], r["text"].encode()) for r in part.collect())
-        out.append(spark.sparkContext.broadcast(Tests(rows, window)))
+        held, size = [], 0
+        for name, piece, words_in in _pieces(sorted((r["name"], r["text"].encode()) for r in part.collect()), window):
+            if held and size + words_in > BLOCK_WORDS:
+                out.append(spark.sparkContext.broadcast(Tests(held, window)))
+                held, size = [], 0
+            held.append((name, piece))
+            size += words_in
+        out.append(spark.sparkContext.broadcast(Tests(held, window)))
     return out
 
 
+def _pieces(rows: list[tuple[str, bytes]], window: int):
+    """(name, text, words) of items, the longest cut so that each window is in one piece."""
+    for name, text in rows:
+        w = words(text)
+        for k in range(0, max(1, len(w) - window + 1), BLOCK_WORDS // 2):
+            part = w[k : k + BLOCK_WORDS // 2 + window - 1]
+            yield name, b" ".join(part), len(part)
+
+
 def _shards(texts: list[list[bytes]]):
     """Runs of documents of about SHARD_WORDS words."""
     first = n = 0

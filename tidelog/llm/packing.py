@@ -68,7 +68,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _round(items: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
-    """Bins of (total, members), packed within partitions. Items are dealt by content, so equal runs deal alike."""
+    """Bins of (total, members), packed within partitions. Items are dealt in turn, after a sort
+    of each partition, so equal runs deal alike and no kind of item gathers in one task."""
 
     def work(batches):
         got = [b for b in batches if b.num_rows]
@@ -92,12 +93,12 @@ def _round(items: DataFrame, number: int, parts: int, capacity: int) -> DataFram
             edges = np.concatenate(([0], np.cumsum(per_bin)))
             ends = np.concatenate(([0], np.cumsum(n)))[edges]
             sums = np.add.reduceat(total[rows], edges[:-1])
-            ids = (number << 56) + (part << 32) + np.arange(at, at + len(some))
+            ids = (number << 48) + (part << 28) + np.arange(at, at + len(some))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.take(pa.array(index)))], ["bin", "total", "members"])
 
     kind = items.schema["members"].dataType.simpleString()
     tied = items.withColumn("tie", F.xxhash64("members"))
-    return tied.repartition(parts, "tie").select("total", "members", "tie").mapInArrow(work, f"bin long, total long, members {kind}")
+    return tied.repartition(parts).select("total", "members", "tie").mapInArrow(work, f"bin long, total long, members {kind}")
 
 
 def pack(parts: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_task: int = ITEMS) -> DataFrame:
@@ -113,7 +114,7 @@ def pack(parts: DataFrame, scratch: Scratch, capacity: int = CAPACITY, per_task:
         bins = scratch.keep(_round(items, number, tasks, capacity), f"bins-{number}")
         under = bins.where(F.col("total") < int(capacity * NEARLY))
         left = under.count()
-        last = tasks == 1 or bins.count() == n or number == 100
+        last = tasks == 1 or bins.count() == n
         done.append(bins if last else bins.where(F.col("total") >= int(capacity * NEARLY)))
         if last:
             break
