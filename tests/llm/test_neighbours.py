@@ -51,3 +51,18 @@ def test_edges(spark):
 def test_recall(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     check(neighbours.op9(spark, sf).collect(), brute(rows), 0.95)
+
+
+def test_multiples_are_ties(spark):
+    rnd = np.random.RandomState(2)
+    v = rnd.randn(16)
+    rows = [(k, [float(x) for x in rnd.randn(16)]) for k in range(200)]
+    rows[100] = (100, v.tolist())
+    rows += [(1000 + k, (v * 2.0 ** (30 - k)).tolist()) for k in range(60)] + [(2000 + k, (v * (3 + k)).tolist()) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.pmod("vec_id", F.lit(50)) == 0, shard_rows=150).collect()
+    check(got, brute(rows), 0.98)
+    best = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == 100)
+    norm = lambda x: np.linalg.norm(np.array([x]), axis=1)[0]
+    want = sorted((-float((np.array(w) * v).sum() / (norm(w) * norm(v))), j) for j, w in rows if j != 100)[:5]
+    assert [x[2] for x in best] == [-s for s, _ in want] and [x[1] for x in best] == [j for _, j in want]

@@ -7,8 +7,9 @@ block of queries at once. Shard results carry exact double-precision cosines and
 rank.
 
 Null, zero and non-finite vectors take no part, nor do rows without an id; of rows that
-share an id the least vector counts; equal vectors are one node with its smallest ids, so
-ties and copies are settled exactly; vectors of another length are shards of their own and
+share an id the least vector counts; vectors of one direction are one node, of which all
+are scored and equal ones keep their smallest ids, so ties, multiples and copies are settled
+exactly; vectors of another length are shards of their own and
 are never compared; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -164,14 +165,17 @@ def index(rows: DataFrame, scratch: Scratch, k: int, shard_rows: int = SHARD) ->
         some = rank <= k
         own = np.full((len(first), k + 1), EMPTY, np.int64)
         own[inverse[by][some], rank[some]] = ids[by[some]]
-        g = build(ids[first], unit(v[first]).astype(np.float32))
+        # One node for each direction: multiples of a vector agree far beyond these 20 bits.
+        u = unit(v[first])
+        _, lead, node = np.unique(np.round(u * (1 << 20)).astype(np.int32), axis=0, return_index=True, return_inverse=True)
+        g = build(ids[first[lead]], u[lead].astype(np.float32))
         raw = lambda a: np.ascontiguousarray(a).tobytes()
-        cols = {"dim": [dim], "shard": [table["shard"][0].as_py()], "ids": [raw(own)], "vectors": [raw(v[first])], "entry": [g["entry"]],
+        cols = {"node": [raw(node.reshape(-1).astype(np.int32))], "dim": [dim], "shard": [table["shard"][0].as_py()], "ids": [raw(own)], "vectors": [raw(v[first])], "entry": [g["entry"]],
                 "nodes": [[raw(a.astype(np.int32)) for a, _ in g["layers"]]], "links": [[raw(f) for _, f in g["layers"]]]}
-        return pa.table(cols, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("entry", pa.int64()), ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
+        return pa.table(cols, schema=pa.schema([("node", pa.binary()), ("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("entry", pa.int64()), ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(max(shards, 6), "dim", "shard")
-    made = dealt.groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, ids binary, vectors binary, entry long, nodes array<binary>, links array<binary>")
+    made = dealt.groupBy("dim", "shard").applyInArrow(make, "node binary, dim int, shard int, ids binary, vectors binary, entry long, nodes array<binary>, links array<binary>")
     return scratch.keep(made, "index"), shards
 
 
@@ -194,19 +198,21 @@ def nearest(df: DataFrame, query, vec_id: str = "vec_id", vector: str = "embeddi
                 dim = r["dim"]
                 own = np.frombuffer(r["ids"], np.int64).reshape(-1, k + 1)
                 v = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
-                u = unit(v)
-                x = u.astype(np.float32)
+                node = np.frombuffer(r["node"], np.int32)
+                by = np.argsort(node, kind="stable")
+                edge = np.searchsorted(node[by], np.arange(node.max() + 2))
+                x = unit(v[by[edge[:-1]]]).astype(np.float32)
                 links = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(f, np.int32).reshape(-1, 2 * LINKS)) for a, f in zip(r["nodes"], r["links"])]
                 q = np.array(r["qv"], np.float64)
-                found = search(x, {"layers": links, "entry": r["entry"]}, unit(q).astype(np.float32), beam)[:, : max(4 * k, 24)]
+                found = search(x, {"layers": links, "entry": r["entry"]}, unit(q).astype(np.float32), beam)
                 qn = np.linalg.norm(q, axis=1)
-                vn = np.append(np.linalg.norm(v, axis=1), 1.0)
-                vp, op = np.vstack([v, np.zeros((1, dim))]), np.vstack([own, np.full((1, k + 1), EMPTY)])
-                score = np.einsum("mkd,md->mk", vp[found], q) / (vn[found] * qn[:, None])
+                vn = np.linalg.norm(v, axis=1)
                 out = [[], [], []]
                 for j, qid in enumerate(r["qid"]):
-                    ids = op[found[j]].ravel()
-                    s = np.repeat(score[j], k + 1)
+                    some = found[j][found[j] < len(x)]
+                    at = np.concatenate([by[edge[n] : edge[n + 1]] for n in some.tolist()])
+                    ids = own[at].ravel()
+                    s = np.repeat((v[at] * q[j]).sum(axis=1) / (vn[at] * qn[j]), k + 1)
                     ok = (ids != EMPTY) & (ids != qid)
                     ids, s = ids[ok], s[ok]
                     o = np.lexsort((ids, -s))[:k]
