@@ -44,6 +44,8 @@ def test_placement(spark, frame):
         key = "\0null" if r.doc_id is None else str(r.doc_id)
         p = int(hashlib.md5(key.encode()).hexdigest()[:12], 16) % 101
         assert (r.place, r.shard, r.slot) == (p, table[p], "old")
+    kept = sharding.place(df.withColumn("Shard", F.lit("mine")).withColumn("_placed_at", F.lit(1)), F.col("doc_id"), NAMES, 101)
+    assert kept.columns == [*df.columns, "Shard", "_placed_at", "_slot", "_shard"] and {(r.slot, r.Shard) for r in kept.collect()} == {("old", "mine")}
     assert sharding.place(frame([]), F.col("doc_id"), NAMES, 101).count() == 0
 
 

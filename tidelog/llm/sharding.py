@@ -7,13 +7,16 @@ and a shard that joins or leaves moves little besides its own share.
 
 Null keys are one key of their own; equal keys, repeated rows and ties go to the same
 slot; text length and empty texts don't matter; an empty table gives an empty result;
-extra columns pass through, and clashing ones are kept under the caller's names.
+extra columns pass through under the caller's names; where one has the name of an added one,
+in whatever case, the added one gets underscores in front.
 """
 
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidelog.llm.shared import free_name
+
 SLOTS = 65_537
 SHARDS = 64
 _NULL = "\0null"
@@ -57,15 +60,16 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
 
 def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, slot_to: str = "slot", shard_to: str = "shard") -> DataFrame:
     """Adds slot and shard. The broadcast side has exactly `slots` rows, whatever the data."""
-    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("_placed_slot"), F.col("shard").alias("_placed_shard"))
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in (slot_to, shard_to)]
-    keyed = df.withColumn("_placed_key", slot_of(key, slots))
-    return keyed.join(F.broadcast(table), F.col("_placed_key") == F.col("_placed_slot")).select(*rest, F.col("_placed_key").alias(slot_to), F.col("_placed_shard").alias(shard_to))
+    slot_to, shard_to, at, of = (free_name(df, x) for x in (slot_to, shard_to, "_placed_at", "_placed_of"))
+    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias(of), F.col("shard").alias(shard_to))
+    keyed = df.withColumn(at, slot_of(key, slots)).join(F.broadcast(table), F.col(at) == F.col(of))
+    return keyed.select(*[F.col(f"`{c}`") for c in df.columns], F.col(at).alias(slot_to), F.col(shard_to))
 
 
 def write_sharded(df: DataFrame, key: Column, shards: list[str], path: str, slots: int = SLOTS) -> None:
     """One folder for each shard. Rows are dealt by slot, of which a shard has many, so that no task gets a whole shard."""
-    place(df, key, shards, slots).repartition("slot").write.partitionBy("shard").parquet(path)
+    slot, shard = free_name(df, "slot"), free_name(df, "shard")
+    place(df, key, shards, slots).repartition(slot).write.partitionBy(shard).parquet(path)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
