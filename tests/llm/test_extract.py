@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+import time
+
 from tidelog.llm import extract
 
 
@@ -61,3 +63,20 @@ def test_article_after_open_elements(model, before, after):
     want = ["A title of some words", "Some words of the text, and some more of them in a row."]
     assert texts[-2:] == want and "icon" not in " ".join(texts)
     assert " ".join(want) in model.main_text(page)
+
+
+def test_unclosed_quotes_leave_no_markup():
+    for page in ('<p class="x>hello there</p>', "<p class='x>hello there</p><a href='/y'></a>", '<div id="a><p>hello there</p>'):
+        assert "".join(x[1] for x in extract.blocks(page)) == "hello there", page
+    assert [x[1] for x in extract.blocks('<p title="a > b">one</p><p>two</p>')] == ["one", "two"]
+
+
+def test_depth_costs_no_more_than_length():
+    def took(n):
+        start = time.time()
+        got = extract.blocks("".join(f'<div class="c"><span>t{k}</i>' for k in range(n)))
+        assert len(got) == n
+        return time.time() - start
+
+    took(1000)
+    assert took(40_000) < 40 * max(took(4_000), 0.05)

@@ -6,7 +6,8 @@ Features of the ancestors (tags, and the words of their class, id and role) and
 fitted by gradient ascent of the likelihood on labelled pages, which a generator of page
 layouts writes (TRAIN of them); pages are decoded by Viterbi.
 
-A null or empty page, and one without text, gives an empty text; unclosed tags, cut-off
+A null or empty page, and one without text, gives an empty text; unclosed tags and quotes (a tag
+then ends with its first >), any depth of open elements, cut-off
 references and very long pages are read whole; repeated pages and ids are judged each by
 itself; an empty table gives an empty result; extra columns are not read.
 """
@@ -14,12 +15,15 @@ itself; an empty table gives an empty result; extra columns are not read.
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidelog.llm.shared import sliced
+
 TRAIN, ROUNDS, RATE = 600, 80, 0.5
 # Elements without content, with raw content, those of them that end with their tag
 # where no end tag follows before a scope's tag or one of their kind, those that stand in no path, and those that don't end a block.
@@ -29,7 +33,7 @@ BRIEF = frozenset("svg select datalist".split())
 LOOSE = frozenset(["option"])
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 SCOPES = frozenset("article main nav aside footer header form section".split())
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*/?>|[^<>]*>)|<[!?][^>]*>", re.S)
 _SCOPE_TAG = rf"</?(?:{'|'.join(sorted(SCOPES))})\b"
 _ATTR = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -37,24 +41,47 @@ _WORDS = re.compile(r"[A-Za-z]+")
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+class Open:
+    """An open element. What features need of those above it is carried along, so that depth costs nothing."""
+
+    __slots__ = ("tag", "path")
+
+    def __init__(self, tag: str, marks: str, above: tuple):
+        self.tag = tag
+        own = [f"in:{tag}", *[f"mark:{w}" for w in _WORDS.findall(marks)]]
+        known, scope, leaf, _ = above
+        new = tuple(x for x in dict.fromkeys(own) if x not in known)
+        self.path = (known + new if new else known, (tag, marks) if tag in SCOPES or (marks and tag != "body") else scope, tag, leaf)
+
+
+_TOP = ((), None, None, None)
+
+
 def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(open elements as (tag, marks), text, characters inside links) of every leaf block."""
-    out, stack, text, linked, at = [], [], [], 0, 0
+    """(what the open elements are, text, characters inside links) of every leaf block."""
+    out, stack, paths, text, linked, at = [], [], [_TOP], [], 0, 0
+    held = Counter()  # open elements by tag
 
     def close():
         nonlocal text, linked
         got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if got:
-            path = tuple(x for x in stack if x[0] not in INLINE)
-            out.append((path, got, linked))
+            out.append((paths[-1], got, linked))
         text, linked = [], 0
 
+    def leave(k):
+        for x in stack[k:]:
+            held[x.tag] -= 1
+            if x.tag not in INLINE:
+                paths.pop()
+        del stack[k:]
+
     for m in _MARKUP.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
             text.append(page[at : m.start()])
-            if any(x[0] == "a" for x in stack):
+            if held["a"]:
                 linked += m.start() - at
         at = m.end()
         if not m[2]:
@@ -63,10 +90,8 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if m[1]:
             if tag not in INLINE:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if held[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
         if tag in RAW:
             if tag == "svg" and m[0].endswith("/>"):
@@ -80,14 +105,18 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             close()
         if tag in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
+                if stack[k].tag == "p":
+                    leave(k)
                     break
-                if stack[k][0] not in INLINE:
+                if stack[k].tag not in INLINE:
                     break
         if tag not in VOID and tag not in LOOSE:
             marks = " ".join(a or b or c for _, a, b, c in _ATTR.findall(m[3])).lower() if m[3] else ""
-            stack.append((tag, marks))
+            one = Open(tag, marks, paths[-1])
+            stack.append(one)
+            held[tag] += 1
+            if tag not in INLINE:
+                paths.append(one.path)
     if at < len(page):
         text.append(page[at:])
     close()
@@ -96,17 +125,14 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
 
 @lru_cache(200_000)
 def _path_features(path: tuple) -> tuple[str, ...]:
-    f = []
-    for tag, marks in path:
-        f.append(f"in:{tag}")
-        f += [f"mark:{w}" for w in _WORDS.findall(marks)]
-    scope = next((x for x in reversed(path) if x[0] in SCOPES or (x[1] and x[0] != "body")), None)
+    known, scope, leaf, above = path
+    f = list(known)
     if scope:
         f += [f"scope:{scope[0]}", *[f"near:{w}" for w in _WORDS.findall(scope[1])]]
-    if path:
-        f.append(f"leaf:{path[-1][0]}")
-        if len(path) > 1:
-            f.append(f"pair:{path[-2][0]}>{path[-1][0]}")
+    if leaf:
+        f.append(f"leaf:{leaf}")
+        if above:
+            f.append(f"pair:{above}>{leaf}")
     return tuple(dict.fromkeys(f))
 
 
@@ -307,7 +333,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
 
     def work(batches):
         m = sent.value
-        for b in batches:
+        for b in sliced(batches, 2):
             texts = [m.main_text(p) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
