@@ -32,6 +32,8 @@ COPY_WORDS, SIMILARITY = 5, 0.8
 SAMPLE, FEW, OFTEN = 16, 4, 200_000
 #: Leaders go on meeting buckets until the pairs left to look at are so many for each row at most.
 LINEAR = 1000
+#: Parts of a set that are counted for a first look at a pair.
+SKETCH = 128
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -208,8 +210,9 @@ def _distinct(df: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFr
     one = df.select(*_names(content), first.alias("first"), row.alias("row")).groupBy("k1", "k2").agg(F.min_by("row", "first").alias("row"))
     table = f"texts_{uuid.uuid4().hex}"
     numbered = one.select("k1", "k2", F.monotonically_increasing_id().alias("id"), "row.*")
-    numbered.write.format("parquet").bucketBy(partitions(spark), "k1", "k2").option("path", scratch.path("texts")).saveAsTable(table)
+    numbered.write.format("parquet").bucketBy(partitions(spark), "k1", "k2").option("compression", "zstd").option("path", scratch.path("texts")).saveAsTable(table)
     out = spark.table(table)
+    scratch.drop()
     spark.sql(f"DROP TABLE {table}")  # its files stay, and the frame knows them
     return out
 
@@ -255,6 +258,31 @@ def _rarest(texts: DataFrame, words: int, similarity: float, often: tuple[np.nda
     return texts.mapInArrow(work, "h long, id long, n int, r int")
 
 
+def _sketched(texts: DataFrame, words: int) -> DataFrame:
+    """(id, text, sketch): how many of the text's shingles fall into each of SKETCH parts."""
+
+    def work(batches):
+        for b in sliced(batches, 1):
+            parts = [np.bincount((shingle_set(t, words) >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH).astype("<u4").tobytes() for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.binary())], ["id", "text", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(work, "id long, text string, sketch binary")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches allow that similarity: sets share in each part the lesser count at
+    most. No similar pair goes, and few others have their texts moved."""
+
+    def work(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(-1, SKETCH).astype(np.int64) for k in (2, 3))
+            keep = np.minimum(x, y).sum(axis=1) >= similarity / (1 + similarity) * (x.sum(axis=1) + y.sum(axis=1)) - 1e-6
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    return one.join(texts.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' sets have at least that Jaccard similarity."""
 
@@ -286,14 +314,17 @@ def _classes(texts: DataFrame, words: int, similarity: float, scratch: Scratch)
     """(node, root) of the texts (k1, k2, id, text) that are like some other."""
     whole = texts.select("id", "text")
     rare = scratch.keep(_rarest(whole, words, similarity, _often(whole, words)), "rare")
+    scratch.drop()
     twice = scratch.keep(rare.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    scratch.drop()
     met = scratch.keep(rare.join(twice, "h"), "met")
     scratch.drop("rare", "twice")
     # The text that meets most others for its size leads: of a group of copies that is the one they are made from.
     weight = met.groupBy("id").agg((F.sum("c") / F.first("n")).alias("w"))
     rows = scratch.keep(met.join(weight, "id").select("h", "id", "n", "r", "w", F.col("id").alias("to")), "weighed")
     named = texts.select("id", "k1", "k2").join(rows.select("id").distinct(), "id")
-    asked = scratch.keep(texts.select("k1", "k2", "text").join(named, ["k1", "k2"]).select("id", "text"), "asked")
+    asked = scratch.keep(_sketched(texts.select("k1", "k2", "text").join(named, ["k1", "k2"]), words), "asked")
+    scratch.drop()
     edges, compared, k = None, None, 0
 
     def compare(met, name):
@@ -301,7 +332,9 @@ def _classes(texts: DataFrame, words: int, similarity: float, scratch: Scratch)
         nonlocal edges, compared
         new = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = scratch.keep(new.join(compared, ["a", "b"], "left_anti") if compared is not None else new, f"pairs-{name}")
-        good = scratch.keep(_alike(new, asked, words, similarity), f"similar-{name}")
+        likely = scratch.keep(_possible(new, asked, similarity), f"possible-{name}")
+        good = scratch.keep(_alike(likely, asked, words, similarity), f"similar-{name}")
+        scratch.drop(f"possible-{name}")
         edges, compared = (good, new) if edges is None else (edges.union(good), compared.union(new))
         return not good.isEmpty()
 
