@@ -1,4 +1,4 @@
-"""The queries that look up every id, against brute force."""
+"""The lookups of every id, against brute force."""
 
 import hashlib
 import math
@@ -41,12 +41,12 @@ def state(at, key):
 def test_lookups(spark, small):
     at, keys = newest(events()), [name(k) for k in range(N)]
     want = sorted((k, *state(at, k)) for k in keys)
-    got = sorted((r.key, r.state, r.value) for r in e.queries()["kv_multi_get_all"](spark, small).collect())
+    got = sorted((r.key, r.state, r.value) for r in e.queries()["kv_multi_get"](spark, small).collect())
     assert got == want
     assert {s for k, s, _ in want if k >= name(400)} == {"absent", "tombstone", "present"}
     count = {s: sum(x[1] == s for x in want) for s in ("absent", "tombstone", "present")}
-    assert {r.state: r["keys"] for r in e.queries()["kv_lookup_state_all"](spark, small).collect()} == count
-    assert sorted(r.key for r in e.queries()["kv_missing_keys_all"](spark, small).collect()) == [k for k, s, _ in want if s != "present"]
+    assert {r.state: r["keys"] for r in e.queries()["kv_lookup_state"](spark, small).collect()} == count
+    assert sorted(r.key for r in e.queries()["kv_missing_keys"](spark, small).collect()) == [k for k, s, _ in want if s != "present"]
 
 
 def test_lower_bound(spark, small):
@@ -61,7 +61,7 @@ def test_lower_bound(spark, small):
             used, last = used + entry, key
         index.append((last, at))
         want |= {(r, name(k), *next((x for x in index if x[0] >= name(k)), (None, None))) for k in range(N)}
-    got = [(r.run_id, r.key, r.found_key, r.found_offset) for r in e.queries()["run_index_lower_bound_all"](spark, small).collect()]
+    got = [(r.run_id, r.key, r.found_key, r.found_offset) for r in e.queries()["run_index_lower_bound"](spark, small).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -78,5 +78,5 @@ def test_filters(spark, small):
         passed = [x for x in map(name, range(N)) if bits(x, m, k) <= held]
         hits = sum(x in rows for x in passed)
         want.add((r, N, len(passed), hits, len(passed) - hits))
-    got = {(r.run_id, r.probes, r.candidates, r.hits, r.false_positives) for r in e.queries()["bloom_probe_all"](spark, small).collect()}
+    got = {(r.run_id, r.probes, r.candidates, r.hits, r.false_positives) for r in e.queries()["bloom_probe"](spark, small).collect()}
     assert got == want

@@ -29,12 +29,25 @@ def build(rows: DataFrame, fp: float = 0.01) -> tuple[DataFrame, DataFrame]:
     return params, bits
 
 
+def packed(params: DataFrame, bits: DataFrame) -> DataFrame:
+    """One row for each run with its filter as an array of longs that hold 32 bits each."""
+    every = params.select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(m - 1) div 32"))).alias("w"), F.lit(0).cast("long").alias("x"))
+    words = bits.select("run_id", F.expr("bit div 32").alias("w"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("x")).union(every).groupBy("run_id", "w").agg(F.bit_or("x").alias("x"))
+    return params.join(words.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("w", "x"))).getField("x").alias("words")), "run_id")
+
+
 def probe(params: DataFrame, bits: DataFrame, rows: DataFrame, probes: DataFrame) -> DataFrame:
-    """For every run and probe: does the filter let it pass, and is the key there."""
-    asked = _bits(probes.select("key").distinct().join(params.select("run_id", "m", "k")))
-    passed = asked.join(bits.withColumn("hit", F.lit(1)), ["run_id", "bit"], "left").groupBy("run_id", "key", "k").agg(F.count("*").alias("asked"), F.count("hit").alias("hits"))
+    """For every run and probe: does the filter let it pass, and is the key there.
+
+    The result has a row for each probe and run, since each run answers each probe. A run's
+    filter is read as a whole and a probe stops at its first bit that isn't set."""
+    h1, h2 = hash_slices(F.col("key"))
+    asked = probes.select("key").distinct().select("key", h1.alias("h1"), h2.alias("h2")).join(packed(params, bits).select("run_id", "m", "k", "words"))
+    at = lambda i: F.pmod(F.col("h1") + i * F.col("h2"), F.col("m"))
+    set_ = lambda i: F.get("words", F.floor(at(i) / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at(i) % 32).cast("int"))) != 0
+    passed = asked.select("run_id", "key", F.forall(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), set_).alias("candidate"))
     there = rows.select("run_id", "key").distinct().withColumn("there", F.lit(True))
-    return passed.join(there, ["run_id", "key"], "left").select("run_id", "key", (F.col("hits") == F.col("asked")).alias("candidate"), F.coalesce("there", F.lit(False)).alias("present"))
+    return passed.join(there, ["run_id", "key"], "left").select("run_id", "key", "candidate", F.coalesce("there", F.lit(False)).alias("present"))
 
 
 def false_positives(probed: DataFrame) -> DataFrame:

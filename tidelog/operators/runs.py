@@ -65,18 +65,19 @@ def sparse_index(layout: DataFrame) -> DataFrame:
 def lower_bound(index: DataFrame, probes: DataFrame) -> DataFrame:
     """The first indexed key that isn't below each probe, in every run; null past the last.
 
-    Probes and index entries are merged in key order and the next entry is carried backwards.
-    The result has a row for each probe and run, since each run answers each probe; a get
-    asks few keys, and whoever asks many cuts the runs by `key_ranges` first."""
+    Probes and index entries are merged in falling key order and the last entry seen is carried
+    on, which takes time linear in both. The result has a row for each probe and run, since each
+    run answers each probe; a get asks few keys, and whoever asks many cuts the runs by
+    `key_ranges` first."""
     runs = index.select("run_id").distinct()
     asked = probes.select("key").distinct().join(runs).select("run_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("long").alias("block_offset"))
     have = index.select("run_id", F.col("last_key").alias("key"), F.lit(1).alias("kind"), "last_key", "block_offset")
-    after = W.partitionBy("run_id").orderBy("key", "kind").rowsBetween(0, W.unboundedFollowing)
+    above = W.partitionBy("run_id").orderBy(F.desc("key"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
     both = asked.unionByName(have)
     return both.select(
         "run_id", "key", "kind",
-        F.first("last_key", ignorenulls=True).over(after).alias("found_key"),
-        F.first("block_offset", ignorenulls=True).over(after).alias("found_offset"),
+        F.last("last_key", ignorenulls=True).over(above).alias("found_key"),
+        F.last("block_offset", ignorenulls=True).over(above).alias("found_offset"),
     ).where("kind = 0").drop("kind")
 
 

@@ -10,7 +10,7 @@ LOG = """L AS (SELECT event_id AS seq, 'u/' || lpad(CAST(user_id AS VARCHAR), 6,
   CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value, ts, event_id // 1000 AS segment FROM events)"""
 RANKED = f"""{LOG}, N AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM L)"""
 RUNS = f"""{LOG}, R AS (SELECT segment AS run_id, key, seq, value, tomb, ts FROM (SELECT *, row_number() OVER (PARTITION BY segment, key ORDER BY seq DESC) AS rn FROM L) WHERE rn = 1)"""
-PROBES = "P AS (SELECT DISTINCT 'u/' || lpad(CAST(e.event_id AS VARCHAR), 6, '0') AS key FROM events e WHERE e.event_id < 400)"
+PROBES = "P AS (SELECT DISTINCT 'u/' || lpad(CAST(e.event_id AS VARCHAR), 6, '0') AS key FROM events e)"
 SIZE = lambda x: f"(CASE {' '.join(f'WHEN {x} < {1 << 7 * k} THEN {k}' for k in range(1, 9))} ELSE 9 END)"
 VLEN = "CASE WHEN tomb THEN 0 ELSE coalesce(strlen(value), 0) END"
 WAL = f"""{LOG}, S AS (SELECT seq, key, value, tomb, CASE WHEN tomb THEN 2 ELSE 1 END AS tag,
@@ -33,10 +33,6 @@ def _log(spark, d):
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/events.parquet").where("event_id < 400").select(F.format_string("u/%06d", "event_id").alias("key")).distinct()
-
-
-def _all_probes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select(F.format_string("u/%06d", "event_id").alias("key")).distinct()
 
 
@@ -180,12 +176,3 @@ register("manifest_cas", """WITH RECURSIVE E AS (SELECT event_type AS object, ev
     UNION ALL SELECT e.object, e.rn, g.gen + CASE WHEN g.expects = g.gen THEN 1 ELSE 0 END, e.expected_gen FROM G g JOIN E e ON e.object = g.object AND e.rn = g.rn + 1)
   SELECT e.object, e.seq, e.writer, e.expected_gen, CASE WHEN e.expected_gen = g.gen THEN 'committed' ELSE 'conflict' END AS outcome FROM E e JOIN G g ON g.object = e.object AND g.rn = e.rn""")(_cas)
 register("stream_live_view", f"WITH {RANKED} {LIVE}")(ingest.live_view)
-
-# The SQL of the queries of these names without _all looks up ids below 400 only; these look up
-# every id. The last two have no SQL: they pair each id with each run.
-ALL_PROBES = PROBES.replace(" WHERE e.event_id < 400", "")
-register("kv_multi_get_all", f"WITH {RANKED}, {NEW}, {ALL_PROBES} SELECT p.key, {STATE}, CASE WHEN NOT a.tomb THEN a.value END AS value FROM P p LEFT JOIN A a ON a.key = p.key")(lambda s, d: view.lookup(_log(s, d), _all_probes(s, d)))
-register("kv_lookup_state_all", f"WITH {RANKED}, {NEW}, {ALL_PROBES} SELECT state, count(*) AS keys FROM (SELECT {STATE} FROM P p LEFT JOIN A a ON a.key = p.key) GROUP BY state")(lambda s, d: view.lookup(_log(s, d), _all_probes(s, d)).groupBy("state").agg(F.count("*").alias("keys")))
-register("kv_missing_keys_all", f"WITH {RANKED}, {ALL_PROBES} SELECT key FROM P WHERE NOT EXISTS (SELECT 1 FROM N WHERE N.key = P.key AND rn = 1 AND NOT tomb)")(lambda s, d: view.missing(_log(s, d), _all_probes(s, d)))
-register("run_index_lower_bound_all")(lambda s, d: R.lower_bound(R.sparse_index(R.block_layout(_runs(s, d))), _all_probes(s, d)))
-register("bloom_probe_all")(lambda s, d: (lambda r: bloom.false_positives(bloom.probe(*bloom.build(r), r, _all_probes(s, d))))(_runs(s, d)))
