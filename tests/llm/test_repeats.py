@@ -51,8 +51,7 @@ def test_small_chunks_give_the_same(spark, frame, monkeypatch):
     assert sorted((tuple(r) for r in repeats.remove(frame(docs)).collect()), key=repr) == brute(docs)
 
 
-def test_texts_dealt_by_key_give_the_same(spark, frame, monkeypatch):
-    monkeypatch.setattr(repeats, "SENT", -1)
+def test_rows_without_ids_and_repeated_rows(spark, frame):
     rnd = random.Random(3)
     base = ["".join(rnd.choices("ab", k=rnd.randint(150, 900))) for _ in range(12)]
     docs = [(k, rnd.choice(base)[: rnd.randint(100, 900)]) for k in range(30)] + [(None, base[0]), (3, base[1]), (40, None)]

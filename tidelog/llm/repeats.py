@@ -20,18 +20,17 @@ result; extra columns are not read.
 """
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidelog.llm.shared import Scratch, flat_bytes
+from tidelog.llm.shared import Scratch, flat_bytes, partitions
 
 LENGTH, GRAM = 200, 64
 MOST = LENGTH - GRAM + 1  # windows of a run; only runs with a name at several places are longer, and are cut
 CHUNK = 8 << 20
-#: Up to so many rows, what is joined to the texts goes to them; beyond, both are dealt by key.
-SENT = 2_000_000
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xDB4F0B9175AE2165, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -140,6 +139,18 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), F.col(f"`{doc_id}`"), t, F.octet_length(t)).alias("k2"), t.alias("text"))
 
 
+def _bucketed(docs: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, k1, k2, text) of every row, bucketed by key: texts move once, and what is joined
+    to them by key later comes to them. Copies have different ids, thus different keys."""
+    spark, table = docs.sparkSession, f"repeats_{uuid.uuid4().hex}"
+    keyed = _keyed(docs, doc_id, text).repartition(partitions(spark), "k1", "k2")
+    keyed.write.format("parquet").bucketBy(partitions(spark), "k1", "k2").option("compression", "zstd").option("path", scratch.path("texts")).saveAsTable(table)
+    out = spark.table(table)
+    scratch.drop()
+    spark.sql(f"DROP TABLE {table}")  # its files stay, and the frame knows them
+    return out
+
+
 def _list(batch_docs: int, doc: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
     offs = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch_docs)))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, kind))
@@ -232,9 +243,8 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, spans): first and last start of repeated windows, for each document that has any."""
-    src = _keyed(docs, doc_id, text)
+def repeated(src: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, k2, spans): first and last start of repeated windows, for each text of `_bucketed` that has any."""
     runs = scratch.keep(src.select("k1", "k2", "text").mapInArrow(_runs, "k1 long, k2 long, v array<long>, s array<long>, i array<int>, m array<int>"), "runs")
     # Names found twice: partial counts first, so a name's frequency doesn't matter.
     twice = runs.select(F.explode("v").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
@@ -250,7 +260,6 @@ def repeated(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: st
     whole = scratch.keep(whole, "whole")
     scratch.drop("open", "groups")
     per_doc = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("rid", "i", "m")).alias("asked"))
-    per_doc = F.broadcast(per_doc) if asked.count() <= SENT else per_doc
     ranks = src.join(per_doc, ["k1", "k2"]).select("text", "asked").mapInArrow(_windows, "h1 long, h2 int, ref long")
     seen = F.count("*").over(W.partitionBy("h1", "h2"))
     hits = ranks.withColumn("c", seen).where("c > 1 or pmod(ref, 2) = 1").select(F.expr("ref div 512").alias("rid"), F.expr("cast(ref div 2 % 256 as int)").alias("off"))
@@ -280,11 +289,10 @@ def _joined(offs: str):
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    spans = repeated(docs, scratch, doc_id, text)
+    texts = _bucketed(docs, scratch, doc_id, text)
+    spans = repeated(texts, scratch)
     key = docs.schema[doc_id].dataType.simpleString()
-    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    spans = F.broadcast(spans) if n <= SENT else spans
-    joined = _keyed(docs, doc_id, text).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
