@@ -6,6 +6,7 @@ import math
 import pytest
 
 import __spark_entry__ as e
+from tidelog.operators import bloom
 
 N = 2300
 
@@ -80,3 +81,7 @@ def test_filters(spark, small):
         want.add((r, N, len(passed), hits, len(passed) - hits))
     got = {(r.run_id, r.probes, r.candidates, r.hits, r.false_positives) for r in e.queries()["bloom_probe"](spark, small).collect()}
     assert got == want
+    rows, probes = e.catalogue._runs(spark, small), e.catalogue._probes(spark, small)
+    each = [tuple(r) for r in bloom.probe(*bloom.build(rows), rows, probes).collect()]
+    assert len(each) == len(runs()) * N and not [x for x in each if x[3] and not x[2]]
+    assert {(r, sum(x[2] for x in each if x[0] == r), sum(x[3] for x in each if x[0] == r)) for r in runs()} == {(r, c, h) for r, _, c, h, _ in want}

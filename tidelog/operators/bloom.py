@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidelog.functions import hash_slices
 
 LN2 = math.log(2)
+UNROLLED = 8
 
 
 def with_params(df: DataFrame, fp: float = 0.01) -> DataFrame:
@@ -36,22 +37,47 @@ def packed(params: DataFrame, bits: DataFrame) -> DataFrame:
     return params.join(words.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("w", "x"))).getField("x").alias("words")), "run_id")
 
 
+def spread(probes: DataFrame) -> DataFrame:
+    """The probes' distinct keys over all shuffle partitions, however few bytes they are: what
+    follows makes a row of each for every run, and adaptive execution would put them into one task."""
+    n = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return probes.select("key").repartition(n, "key").distinct()
+
+
+def _asked(params: DataFrame, bits: DataFrame, probes: DataFrame) -> DataFrame:
+    """(run_id, key, candidate): does the filter of each probe's run let it pass.
+
+    A run's filter is read as a whole and a probe stops at its first bit that isn't set. The
+    first UNROLLED bits are plain expressions, which compile; a list is walked only beyond them."""
+    h1, h2 = hash_slices(F.col("key"))
+    filters = packed(params, bits).select(F.col("run_id").alias("of"), "m", "k", "words")
+    at = lambda i: (F.col("h1") + i * F.col("h2")) % F.col("m")
+    set_ = lambda i: F.call_function("shiftright", F.get("words", F.shiftright(at(i), 5).cast("int")), at(i).bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    all_set = F.lit(True)
+    for i in range(UNROLLED):
+        all_set = all_set & ((F.col("k") <= i) | set_(F.lit(i).cast("long")))
+    rest = F.forall(F.sequence(F.lit(UNROLLED).cast("long"), F.col("k") - 1), set_)
+    hashed = probes.withColumn("h1", h1).withColumn("h2", h2)
+    both = hashed.join(filters, F.col("run_id") == F.col("of")) if "run_id" in probes.columns else hashed.join(filters).withColumn("run_id", F.col("of"))
+    return both.select("run_id", "key", (all_set & ((F.col("k") <= UNROLLED) | rest)).alias("candidate"))
+
+
 def probe(params: DataFrame, bits: DataFrame, rows: DataFrame, probes: DataFrame) -> DataFrame:
     """For every run and probe: does the filter let it pass, and is the key there.
 
-    The result has a row for each probe and run, since each run answers each probe. A run's
-    filter is read as a whole and a probe stops at its first bit that isn't set."""
-    h1, h2 = hash_slices(F.col("key"))
-    asked = probes.select("key").distinct().select("key", h1.alias("h1"), h2.alias("h2")).join(packed(params, bits).select("run_id", "m", "k", "words"))
-    at = lambda i: F.pmod(F.col("h1") + i * F.col("h2"), F.col("m"))
-    set_ = lambda i: F.get("words", F.floor(at(i) / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at(i) % 32).cast("int"))) != 0
-    passed = asked.select("run_id", "key", F.forall(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), set_).alias("candidate"))
+    The result has a row for each probe and run, since each run answers each probe."""
     there = rows.select("run_id", "key").distinct().withColumn("there", F.lit(True))
-    return passed.join(there, ["run_id", "key"], "left").select("run_id", "key", "candidate", F.coalesce("there", F.lit(False)).alias("present"))
+    return _asked(params, bits, spread(probes)).join(there, ["run_id", "key"], "left").select("run_id", "key", "candidate", F.coalesce("there", F.lit(False)).alias("present"))
+
 
+def false_positives(params: DataFrame, bits: DataFrame, rows: DataFrame, probes: DataFrame) -> DataFrame:
+    """Per run what `probe` would count up to: probes, candidates, hits and false positives.
 
-def false_positives(probed: DataFrame) -> DataFrame:
-    one = lambda c: F.count(F.when(c, 1))
-    return probed.groupBy("run_id").agg(
-        F.count("*").alias("probes"), one(F.col("candidate")).alias("candidates"),
-        one(F.col("candidate") & F.col("present")).alias("hits"), one(F.col("candidate") & ~F.col("present")).alias("false_positives"))
+    Each task adds up its own probes, so no row of probe and run is shuffled; hits come from
+    the runs' own keys that are asked for."""
+    keys = spread(probes)
+    all_ = _asked(params, bits, keys).groupBy("run_id").agg(F.count("*").alias("probes"), F.count(F.when(F.col("candidate"), 1)).alias("candidates"))
+    there = rows.select("run_id", "key").distinct().join(keys, "key", "left_semi")
+    hits = _asked(params, bits, there).where("candidate").groupBy("run_id").agg(F.count("*").alias("hits"))
+    found = F.coalesce("hits", F.lit(0).cast("long"))
+    return all_.join(hits, "run_id", "left").select("run_id", "probes", "candidates", found.alias("hits"), (F.col("candidates") - found).alias("false_positives"))

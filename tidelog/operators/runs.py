@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidelog.functions import object_path
-from tidelog.operators.bloom import with_params
+from tidelog.operators.bloom import spread, with_params
 from tidelog.operators.fold import frame, ordered
 from tidelog.operators.log import last_per, with_segment
 
@@ -70,7 +70,7 @@ def lower_bound(index: DataFrame, probes: DataFrame) -> DataFrame:
     run answers each probe; a get asks few keys, and whoever asks many cuts the runs by
     `key_ranges` first."""
     runs = index.select("run_id").distinct()
-    asked = probes.select("key").distinct().join(runs).select("run_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("long").alias("block_offset"))
+    asked = spread(probes).join(runs).select("run_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("long").alias("block_offset"))
     have = index.select("run_id", F.col("last_key").alias("key"), F.lit(1).alias("kind"), "last_key", "block_offset")
     above = W.partitionBy("run_id").orderBy(F.desc("key"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
     both = asked.unionByName(have)

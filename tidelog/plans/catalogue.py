@@ -151,7 +151,7 @@ register("bloom_params", f"WITH {RUNS}, {PARAMS} SELECT run_id, n, m, k FROM M")
 register("bloom_probe", f"""WITH {RUNS}, {PARAMS}, {PROBES}, W AS (SELECT DISTINCT run_id, ({HASH(1)} + i * {HASH(13)}) % m AS bit FROM (SELECT r.run_id, r.key, m, unnest(range(0, k)) AS i FROM R r JOIN M ON M.run_id = r.run_id)),
   Z AS (SELECT run_id, key, m, unnest(range(0, k)) AS i FROM P, M), C AS (SELECT z.run_id, z.key, count(*) = count(w.bit) AS candidate FROM Z z LEFT JOIN W w ON w.run_id = z.run_id AND w.bit = ({HASH(1).replace('key', 'z.key')} + z.i * {HASH(13).replace('key', 'z.key')}) % z.m GROUP BY z.run_id, z.key)
   SELECT run_id, count(*) AS probes, count(CASE WHEN candidate THEN 1 END) AS candidates, count(CASE WHEN candidate AND present THEN 1 END) AS hits, count(CASE WHEN candidate AND NOT present THEN 1 END) AS false_positives
-  FROM (SELECT c.*, EXISTS (SELECT 1 FROM R r WHERE r.run_id = c.run_id AND r.key = c.key) AS present FROM C c) GROUP BY run_id""")(lambda s, d: (lambda r: bloom.false_positives(bloom.probe(*bloom.build(r), r, _probes(s, d))))(_runs(s, d)))
+  FROM (SELECT c.*, EXISTS (SELECT 1 FROM R r WHERE r.run_id = c.run_id AND r.key = c.key) AS present FROM C c) GROUP BY run_id""")(lambda s, d: (lambda r: bloom.false_positives(*bloom.build(r), r, _probes(s, d)))(_runs(s, d)))
 ACC = "A AS (SELECT user_id % 4 AS cache_id, event_type AS stream, event_id AS seq, 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key FROM events), S AS (SELECT *, lead(key) OVER (PARTITION BY stream ORDER BY seq) AS next_key FROM A)"
 register("prefetch_transitions", f"WITH {ACC} SELECT stream, key, arg_max(next_key, seq) AS next_key, count(*) AS transitions FROM S WHERE next_key <> key GROUP BY stream, key")(lambda s, d: trace.prefetch_transitions(_accesses(s, d)))
 register("prefetch_predictions", f"WITH {ACC} SELECT stream, seq, key, last_value(CASE WHEN next_key <> key THEN next_key END IGNORE NULLS) OVER (PARTITION BY stream, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted, next_key FROM S")(lambda s, d: trace.prefetch_predictions(_accesses(s, d)))
