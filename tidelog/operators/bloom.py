@@ -58,7 +58,10 @@ def _asked(params: DataFrame, bits: DataFrame, probes: DataFrame) -> DataFrame:
         all_set = all_set & ((F.col("k") <= i) | set_(F.lit(i).cast("long")))
     rest = F.forall(F.sequence(F.lit(UNROLLED).cast("long"), F.col("k") - 1), set_)
     hashed = probes.withColumn("h1", h1).withColumn("h2", h2)
-    both = hashed.join(filters, F.col("run_id") == F.col("of")) if "run_id" in probes.columns else hashed.join(filters).withColumn("run_id", F.col("of"))
+    if "run_id" in probes.columns:
+        both = hashed.join(filters, F.col("run_id") == F.col("of"))
+    else:  # in blocks of partitions: neither probes nor filters have a bound, so neither is broadcast
+        both = filters.hint("shuffle_replicate_nl").join(hashed).withColumn("run_id", F.col("of"))
     return both.select("run_id", "key", (all_set & ((F.col("k") <= UNROLLED) | rest)).alias("candidate"))
 
 

@@ -69,8 +69,8 @@ def lower_bound(index: DataFrame, probes: DataFrame) -> DataFrame:
     on, which takes time linear in both. The result has a row for each probe and run, since each
     run answers each probe; a get asks few keys, and whoever asks many cuts the runs by
     `key_ranges` first."""
-    runs = index.select("run_id").distinct()
-    asked = spread(probes).join(runs).select("run_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("long").alias("block_offset"))
+    runs = index.select("run_id").distinct().hint("shuffle_replicate_nl")  # in blocks of partitions, nothing broadcast
+    asked = runs.join(spread(probes)).select("run_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("long").alias("block_offset"))
     have = index.select("run_id", F.col("last_key").alias("key"), F.lit(1).alias("kind"), "last_key", "block_offset")
     above = W.partitionBy("run_id").orderBy(F.desc("key"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
     both = asked.unionByName(have)
