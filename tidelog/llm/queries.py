@@ -1,8 +1,11 @@
-"""The operators' queries, each over its whole table. SQL says what op10 does; for the others it
+"""The operators' queries, each over its whole table. SQL says what op4, op7 and op10 do; for the others it
 can't, or not at this size: each is tested against brute force, a round trip or held-out accuracy."""
 
 import corpus_pipeline
 from tidelog.llm import decontaminate, extract, language, neighbours, packing, repeats, secrets, sharding, simhash, tokenfiles
+from tidelog.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_token_files": tokenfiles.op1,
@@ -18,8 +21,3 @@ QUERIES = {
     "langid_pages": language.langid_pages,
     "pipeline": corpus_pipeline.run,
 }
-_SHARDS = b"".join(k.to_bytes(2, "big") for k in sharding.fill([f"shard-{k:04d}" for k in range(sharding.SHARDS)])).hex()
-ORACLES: dict[str, str] = {
-    "op10_sharding": f"""SELECT doc_id, source, n_bytes, slot, CAST(concat('0x', substr('{_SHARDS}', 4 * slot + 1, 4)) AS INTEGER) AS shard FROM (
-  SELECT doc_id, source, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null')), 1, 12)) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)""",
-}
