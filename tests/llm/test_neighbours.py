@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidelog.llm import neighbours
@@ -66,3 +67,21 @@ def test_multiples_are_ties(spark):
     norm = lambda x: np.linalg.norm(np.array([x]), axis=1)[0]
     want = sorted((-float((np.array(w) * v).sum() / (norm(w) * norm(v))), j) for j, w in rows if j != 100)[:5]
     assert [x[2] for x in best] == [-s for s, _ in want] and [x[1] for x in best] == [j for _, j in want]
+
+
+def test_recall_of_many_full_shards(spark):
+    """Eight shards of full size; half of the vectors lie in 300 tight clusters."""
+    rng = np.random.default_rng(7)
+    n = 8 * neighbours.SHARD
+    v = rng.normal(size=(n, 32))
+    v[::2] = 3 * rng.normal(size=(300, 32))[rng.integers(0, 300, n // 2)] + 0.05 * rng.normal(size=(n // 2, 32))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist()}))
+    got = neighbours.nearest(df, F.pmod("vec_id", F.lit(50)) == 0).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(0, n, 50)
+    s = u[ids] @ u.T
+    s[np.arange(len(ids)), ids] = -2
+    kth = np.sort(s, axis=1)[:, -5]
+    hits = got.score.to_numpy() >= kth[got.query_id.to_numpy() // 50] - 1e-12
+    assert len(got) == 5 * len(ids) and hits.mean() >= 0.95, hits.mean()
+    print("recall", hits.mean())

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph in each shard.
 
 Rows are dealt to shards of about SHARD vectors. A shard's graph has layers of falling
-size; each layer is one flat array of neighbour numbers, padded with -1. A search walks
+size, into which nodes are inserted in small batches by searching what is there; each
+layer is one flat array of neighbour numbers, padded with -1. A search walks
 down from the top layer with a narrow beam and through the lowest with a wide one, for a
 block of queries at once. Shard results carry exact double-precision cosines and merge by
 rank.
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidelog.llm.shared import Scratch
 
 SHARD, QUERIES, LINKS, BEAM, STEP = 4096, 2048, 16, 128, 4
+#: Nodes inserted at once, and the beam that finds their neighbours.
+INSERTED, EFFORT = 128, 64
 K = 5
 EMPTY = -(2**63)
 
@@ -33,54 +36,88 @@ def levels(n: int, ids: np.ndarray) -> np.ndarray:
     return np.minimum((-np.log(u) / np.log(LINKS)).astype(np.int64), 4)
 
 
-def layer(x: np.ndarray, nodes: np.ndarray, links: int) -> np.ndarray:
-    """Neighbour rows of one layer: diverse near ones of each node and links back.
-
-    A near node is passed over when one already taken is nearer to it than the node is, and
-    fills up the row only at the end."""
-    n, width = len(nodes), 2 * links
-    out = np.full((n, width), -1, np.int32)
-    if n == 1:
-        return out
-    pool = min(n - 1, 2 * links)
-    near, sims = np.empty((n, pool), np.int64), np.empty((n, pool), np.float32)
-    for a in range(0, n, 1024):
-        s = x[nodes[a : a + 1024]] @ x[nodes].T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        top = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
-        v = np.take_along_axis(s, top, 1)
-        o = np.argsort(-v, axis=1, kind="stable")
-        near[a : a + len(s)], sims[a : a + len(s)] = np.take_along_axis(top, o, 1), np.take_along_axis(v, o, 1)
-    taken = np.zeros((n, pool), bool)
-    count = np.zeros(n, np.int64)
+def diverse(sims: np.ndarray, gram: np.ndarray, links: int) -> np.ndarray:
+    """Columns that each row keeps, in order, of candidates by falling similarity (-inf: none); -1 pads.
+
+    A candidate is passed over when one already taken is nearer to it than the row's own node
+    is, and fills up the row only at the end."""
+    m, pool = sims.shape
+    there = sims > -np.inf
+    taken, count = np.zeros((m, pool), bool), np.zeros(m, np.int64)
     for j in range(pool):
-        rival = np.full(n, -np.inf, np.float32)
-        for i in range(j):
-            pair = np.einsum("nd,nd->n", x[nodes[near[:, i]]], x[nodes[near[:, j]]])
-            rival = np.maximum(rival, np.where(taken[:, i], pair, -np.inf))
-        ok = (rival <= sims[:, j]) & (count < links)
-        taken[:, j] = ok
-        count += ok
-    order = np.argsort(~taken, axis=1, kind="stable")[:, :links]
-    chosen = np.take_along_axis(near, order, 1)
-    out[:, : chosen.shape[1]] = nodes[chosen]
-    room = np.full(n, chosen.shape[1])
-    for k, row in enumerate(chosen.tolist()):
+        rival = np.where(taken[:, :j], gram[:, :j, j], -np.inf).max(axis=1, initial=-np.inf)
+        taken[:, j] = there[:, j] & (rival <= sims[:, j]) & (count < links)
+        count += taken[:, j]
+    order = np.argsort(np.where(taken, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :links]
+    return np.where(np.take_along_axis(there, order, 1), order, -1)
+
+
+def chosen(x: np.ndarray, nodes: np.ndarray, near: np.ndarray, pool: int, links: int) -> np.ndarray:
+    """Neighbours of each node out of its candidates, -1 and itself being none."""
+    padded = np.where(near < 0, 0, near)
+    sims = np.einsum("mpd,md->mp", x[padded], x[nodes])
+    sims[(near < 0) | (near == nodes[:, None])] = -np.inf
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :pool]
+    near, sims = np.take_along_axis(padded, order, 1), np.take_along_axis(sims, order, 1)
+    v = x[near]
+    keep = diverse(sims, v @ v.transpose(0, 2, 1), links)
+    return np.where(keep < 0, -1, np.take_along_axis(near, np.maximum(keep, 0), 1))
+
+
+def link_back(x: np.ndarray, flat: np.ndarray, new: np.ndarray, rows: np.ndarray) -> None:
+    """Adds new nodes to their neighbours' rows; a row that is too full keeps diverse near ones."""
+    width, more = flat.shape[1], {}
+    for k, row in zip(new.tolist(), rows.tolist()):
         for t in row:
-            if room[t] < width and nodes[k] not in out[t, : room[t]]:
-                out[t, room[t]] = nodes[k]
-                room[t] += 1
-    return out
+            if t >= 0:
+                more.setdefault(t, []).append(k)
+    full = []
+    for t, ks in more.items():
+        have = flat[t][flat[t] >= 0].tolist()
+        both = have + [k for k in ks if k not in have]
+        if len(both) <= width:
+            flat[t, : len(both)] = both
+        else:
+            full.append((t, both))
+    full.sort(key=lambda f: len(f[1]))
+    for a in range(0, len(full), 64):
+        part = full[a : a + 64]
+        near = np.full((len(part), len(part[-1][1])), -1, np.int64)
+        for k, (_, both) in enumerate(part):
+            near[k, : len(both)] = both
+        nodes = np.array([t for t, _ in part])
+        flat[nodes] = -1
+        flat[nodes, :width] = chosen(x, nodes, near, near.shape[1], width)
 
 
 def build(ids: np.ndarray, x: np.ndarray) -> dict:
-    """Layers of a shard, lowest first: node numbers and flat neighbour arrays."""
-    top = levels(len(x), ids)
-    layers = []
-    for k in range(int(top.max()) + 1):
-        nodes = np.flatnonzero(top >= k)
-        layers.append((nodes, layer(x, nodes, LINKS)))
-    return {"layers": layers, "entry": int(np.flatnonzero(top == top.max())[0])}
+    """Layers of a shard, lowest first: node numbers and flat neighbour arrays.
+
+    Nodes are inserted in the order of a hash, in batches no larger than what is there already.
+    A batch walks down the graph so far, and in each of a node's layers what its beam finds
+    there, and the batch's own nodes, are the candidates for its row."""
+    n, top = len(x), levels(len(x), ids)
+    order = np.argsort((ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (ids.astype(np.uint64) >> np.uint64(32)), kind="stable")
+    flats = [np.full((n, 2 * LINKS), -1, np.int32) for _ in range(int(top.max()) + 1)]
+    entry, done, every = int(order[0]), 1, np.arange(n)
+    while done < n:
+        batch = order[done : done + min(done, INSERTED)]
+        start = np.full((len(batch), 1), entry, np.int64)
+        for k in range(int(top.max()), -1, -1):
+            if top[entry] >= k:
+                start, _ = walk(x, every, flats[k], x[batch], start, EFFORT)
+            own = top[batch] >= k
+            if not own.any():
+                continue
+            new = batch[own]
+            found = start[own] if top[entry] >= k else np.zeros((len(new), 0), np.int64)
+            near = np.hstack([np.where(found < n, found, -1), np.broadcast_to(new, (len(new), len(new)))])
+            rows = chosen(x, new, near, 2 * LINKS, LINKS)
+            flats[k][new, : rows.shape[1]] = rows
+            link_back(x, flats[k], new, rows)
+        best = int(batch[np.argmax(top[batch])])
+        entry, done = best if top[best] > top[entry] else entry, done + len(batch)
+    return {"layers": [(np.flatnonzero(top >= k), f[top >= k]) for k, f in enumerate(flats)], "entry": entry}
 
 
 def walk(x, nodes, flat, q, start, beam: int):
