@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog import functions as fn
 from tidelog.operators import bloom, compact, http, log as L, runs as R, trace, view
+from tidelog.sources import blocks
 from tidelog.streaming import ingest
 
 LOG = """L AS (SELECT event_id AS seq, 'u/' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, event_type = 'error' AS tomb,
@@ -72,6 +73,25 @@ def _ledger(spark, d):
     return e.select(F.pmod("user_id", F.lit(4)).alias("ledger"), F.col("event_id").alias("seq"), F.when(F.pmod("event_id", F.lit(3)) == 2, "free").otherwise("alloc").alias("op"), (F.pmod("event_id", F.lit(7)) * 100 + 50).cast("long").alias("bytes"))
 
 
+def _index_blocks(spark, d):
+    """Index blocks, seven of eight damaged: cut, with another magic, version or flag, or in their first entry."""
+    whole = blocks.index_blocks(R.sparse_index(R.block_layout(_runs(spark, d))))
+    put = lambda at, digits: F.concat(F.substring(F.col("block"), F.lit(1), at), F.unhex(F.lit(digits)), F.substring(F.col("block"), at + len(digits) // 2 + 1, F.octet_length("block")))
+    heap, n = blocks.HEADER + 4 * blocks.number(F.col("block"), 8, 4), F.pmod("run_id", F.lit(8))
+    damaged = (
+        F.when(n == 1, F.substring(F.col("block"), F.lit(1), F.lit(10))).when(n == 2, put(F.lit(0), "FF")).when(n == 3, put(F.lit(4), "02")).when(n == 4, put(F.lit(6), "01"))
+        .when(n == 5, F.substring(F.col("block"), F.lit(1), F.octet_length("block") - 1)).when(n == 6, put(F.lit(blocks.HEADER), "FFFFFFFF")).when(n == 7, put(heap + 12, "0110")).otherwise(F.col("block")))
+    read = whole.select("run_id", blocks.parsed_index(damaged).alias("p"))
+    return read.select("run_id", F.col("p.error").alias("error"), F.posexplode_outer("p.entries").alias("place", "e")).select("run_id", "error", "place", F.col("e.error").alias("entry_error"), "e.key", "e.block_offset", "e.block_size")
+
+
+def _data_blocks(spark, d):
+    block = _log(spark, d).select("seq", blocks.with_checksum(F.coalesce("value", "key").cast("binary")).alias("block"))
+    n = F.pmod("seq", F.lit(5))
+    damaged = F.when(n == 1, F.concat(F.unhex(F.lit("00")), F.substring(F.col("block"), F.lit(2), F.octet_length("block")))).when(n == 2, F.substring(F.col("block"), F.lit(1), F.lit(3))).otherwise(F.col("block"))
+    return block.select("seq", damaged.alias("block")).select("seq", blocks.checked(F.col("block")).alias("c")).select("seq", "c.error", F.col("c.payload").cast("string").alias("payload"))
+
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -118,6 +138,11 @@ register("run_block_layout", f"WITH RECURSIVE {LAYOUT} SELECT run_id, block_no,
 register("run_sparse_index", f"WITH RECURSIVE {LAYOUT} SELECT run_id, block_no, last_key, block_size, block_offset FROM X")(lambda s, d: R.sparse_index(R.block_layout(_runs(s, d))))
 register("run_index_lower_bound", f"""WITH RECURSIVE {LAYOUT}, {PROBES} SELECT r.run_id, p.key, min(x.last_key) AS found_key, min(x.block_offset) AS found_offset
   FROM P p CROSS JOIN (SELECT DISTINCT run_id FROM X) r LEFT JOIN X x ON x.run_id = r.run_id AND x.last_key >= p.key GROUP BY r.run_id, p.key""")(lambda s, d: R.lower_bound(R.sparse_index(R.block_layout(_runs(s, d))), _probes(s, d)))
+register("index_block_parse", f"""WITH RECURSIVE {LAYOUT}, K AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY last_key) - 1 AS i,
+    CASE WHEN run_id % 8 IN (1, 5) THEN 'BufferTooSmall' WHEN run_id % 8 = 2 THEN 'BadMagic' WHEN run_id % 8 = 3 THEN 'UnsupportedVersion' WHEN run_id % 8 = 4 THEN 'BadFlags' END AS error FROM X)
+  SELECT run_id, error, CAST(CASE WHEN error IS NULL THEN i END AS INTEGER) AS place, entry_error, CASE WHEN good THEN last_key END AS key, CASE WHEN good THEN block_offset END AS block_offset, CASE WHEN good THEN block_size END AS block_size
+  FROM (SELECT *, error IS NULL AND entry_error IS NULL AS good FROM (SELECT *, CASE WHEN i = 0 AND run_id % 8 = 6 THEN 'OffsetOutOfRange' WHEN i = 0 AND run_id % 8 = 7 THEN 'KeyTooLong' END AS entry_error FROM K)) WHERE error IS NULL OR i = 0""")(_index_blocks)
+register("data_block_check", f"WITH {LOG} SELECT seq, CASE WHEN seq % 5 IN (1, 2) THEN 'BadDataBlock' END AS error, CASE WHEN seq % 5 NOT IN (1, 2) THEN coalesce(value, key) END AS payload FROM L")(_data_blocks)
 register("run_file_size", f"""WITH RECURSIVE {LAYOUT}, {PARAMS} SELECT x.run_id, CAST(sum(block_size) + 16 + max(m) // 8 + 16 + 4 * count(*) + sum(strlen(last_key) + 14) + 64 AS BIGINT) AS size_bytes
   FROM X x JOIN M ON M.run_id = x.run_id GROUP BY x.run_id""")(lambda s, d: (lambda r: R.file_size(r, R.sparse_index(R.block_layout(r))))(_runs(s, d)))
 register("compact_full", f"WITH {RANKED} SELECT key, segment AS run_id, seq, value, tomb FROM N WHERE rn = 1 AND NOT tomb")(lambda s, d: compact.merge(_runs(s, d), drop_tombstones=True))
