@@ -81,7 +81,7 @@ def _index_blocks(spark, d):
     damaged = (
         F.when(n == 1, F.substring(F.col("block"), F.lit(1), F.lit(10))).when(n == 2, put(F.lit(0), "FF")).when(n == 3, put(F.lit(4), "02")).when(n == 4, put(F.lit(6), "01"))
         .when(n == 5, F.substring(F.col("block"), F.lit(1), F.octet_length("block") - 1)).when(n == 6, put(F.lit(blocks.HEADER), "FFFFFFFF")).when(n == 7, put(heap + 12, "0110")).otherwise(F.col("block")))
-    read = whole.select("run_id", blocks.parsed_index(damaged).alias("p"))
+    read = whole.select("run_id", damaged.alias("block")).select("run_id", blocks.parsed_index(F.col("block")).alias("p"))
     return read.select("run_id", F.col("p.error").alias("error"), F.posexplode_outer("p.entries").alias("place", "e")).select("run_id", "error", "place", F.col("e.error").alias("entry_error"), "e.key", "e.block_offset", "e.block_size")
 
 

@@ -14,14 +14,22 @@ from tidelog.schema import MAX_KEY_LEN
 MAGIC, VERSION, HEADER, ENTRY, CHECKSUM = 0x5844495A, 1, 16, 14, 4
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, whatever its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def number(block: Column, at: Column | int, width: int) -> Column:
     """The number at a place of a block; null where it ends beyond the block or above a long."""
-    digits = F.hex(F.substring(block, at + F.lit(1), F.lit(width)))
-    low = unpack_le(F.substring(digits, 1, 2 * min(width, 7)), min(width, 7))
-    if width == 8:
-        top = unpack_le(F.substring(digits, 15, 2), 1)
-        low = F.when(top < 128, low + F.call_function("shiftleft", top, F.lit(56)))
-    return F.when(F.length(digits) == 2 * width, low)
+
+    def read(digits):
+        low = unpack_le(F.substring(digits, 1, 2 * min(width, 7)), min(width, 7))
+        if width == 8:
+            low = bound(unpack_le(F.substring(digits, 15, 2), 1), lambda top: F.when(top < 128, low + F.call_function("shiftleft", top, F.lit(56))))
+        return F.when(F.length(digits) == 2 * width, low)
+
+    first = F.least(F.lit(2**31 - 1).cast("long"), at + F.lit(1).cast("long"))
+    return bound(F.hex(F.substring(block, first, F.lit(width))), read)
 
 
 def with_checksum(payload: Column) -> Column:
@@ -51,19 +59,27 @@ def index_blocks(index: DataFrame) -> DataFrame:
 
 def parsed_index(block: Column) -> Column:
     """(error, entries) of an index block; entries are (error, key, block_offset, block_size) in key order."""
-    n, heap = number(block, 8, 4), number(block, 12, 4)
-    start, size = HEADER + 4 * n, F.octet_length(block)
-    error = (
-        F.when(block.isNull() | (size < HEADER), "BufferTooSmall").when(number(block, 0, 4) != MAGIC, "BadMagic")
-        .when(number(block, 4, 2) != VERSION, "UnsupportedVersion").when(number(block, 6, 2) != 0, "BadFlags").when(size < start + heap, "BufferTooSmall"))
-
-    def entry(i):
-        at = number(block, HEADER + 4 * i, 4)
-        length = number(block, start + at + 12, 2)
-        wrong = F.when(at + ENTRY > heap, "OffsetOutOfRange").when(length > MAX_KEY_LEN, "KeyTooLong").when(at + ENTRY + length > heap, "KeyOutOfRange")
-        fine = lambda c: F.when(wrong.isNull(), c)
-        key = F.substring(block, start + at + ENTRY + 1, length).cast("string")
-        return F.struct(wrong.alias("error"), fine(key).alias("key"), fine(number(block, start + at, 8)).alias("block_offset"), fine(number(block, start + at + 8, 4)).alias("block_size"))
-
-    entries = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: i < n), entry)
-    return F.struct(error.alias("error"), F.when(error.isNull(), entries).alias("entries"))
+
+    def parse(h):
+        b, n, heap, size = h["b"], h["n"], h["heap"], F.octet_length(h["b"])
+        start = HEADER + 4 * n
+        error = (
+            F.when(b.isNull() | (size < HEADER), "BufferTooSmall").when(number(b, 0, 4) != MAGIC, "BadMagic")
+            .when(number(b, 4, 2) != VERSION, "UnsupportedVersion").when(number(b, 6, 2) != 0, "BadFlags").when(size < start + heap, "BufferTooSmall"))
+
+        def entry(x):
+            at, length = x["at"], x["length"]
+            wrong = F.when(at + ENTRY > heap, "OffsetOutOfRange").when(length > MAX_KEY_LEN, "KeyTooLong").when(at + ENTRY + length > heap, "KeyOutOfRange")
+
+            def out(e):
+                fine = lambda c: F.when(e["wrong"].isNull(), c)
+                key = F.substring(b, start + at + ENTRY + 1, length).cast("string")
+                return F.struct(e["wrong"].alias("error"), fine(key).alias("key"), fine(number(b, start + at, 8)).alias("block_offset"), fine(number(b, start + at + 8, 4)).alias("block_size"))
+
+            return bound(F.struct(wrong.alias("wrong")), out)
+
+        placed = lambda i: bound(number(b, HEADER + 4 * i, 4), lambda at: F.struct(at.alias("at"), number(b, start + at + 12, 2).alias("length")))
+        entries = F.transform(F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: i < n), placed), entry)
+        return bound(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), entries).alias("entries")))
+
+    return bound(F.struct(block.alias("b"), number(block, 8, 4).alias("n"), number(block, 12, 4).alias("heap")), parse)
