@@ -85,3 +85,22 @@ def test_recall_of_many_full_shards(spark):
     hits = got.score.to_numpy() >= kth[got.query_id.to_numpy() // 50] - 1e-12
     assert len(got) == 5 * len(ids) and hits.mean() >= 0.95, hits.mean()
     print("recall", hits.mean())
+
+
+def test_tasks_do_not_grow_with_shards_times_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TASKS", 12, raising=False)
+    monkeypatch.setattr(neighbours, "HELD", 4, raising=False)
+    rnd = np.random.RandomState(4)
+    rows = [(k, [float(x) for x in rnd.randn(8)]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    old, sc = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.sparkContext
+    sc.setJobGroup("bounded", "")
+    try:  # 25 shards, 10 blocks of queries
+        got = neighbours.nearest(df, F.pmod("vec_id", F.lit(50)) == 0, shard_rows=40, block=2).collect()
+    finally:
+        sc._jsc.clearJobGroup()
+    check(got, brute(rows), 0.98)
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("bounded") for s in track.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 40
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == old

@@ -4,8 +4,9 @@ Rows are dealt to shards of about SHARD vectors. A shard's graph has layers of f
 size, into which nodes are inserted in small batches by searching what is there; each
 layer is one flat array of neighbour numbers, padded with -1. A search walks
 down from the top layer with a narrow beam and through the lowest with a wide one, for a
-block of queries at once. Shard results carry exact double-precision cosines and merge by
-rank.
+block of queries at once. Every block of queries meets every shard in one of about TASKS tasks,
+which read both where they are stored; a task keeps each query's best of all its shards. Results
+carry exact double-precision cosines and merge by rank.
 
 Null, zero and non-finite vectors take no part, nor do rows without an id; of rows that
 share an id the least vector counts; vectors of one direction are one node, of which all
@@ -14,6 +15,8 @@ exactly; vectors of another length are shards of their own and
 are never compared; an empty table gives an empty result; extra columns are not read.
 """
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -23,6 +26,8 @@ from tidelog.llm.shared import Scratch
 SHARD, QUERIES, LINKS, BEAM, STEP = 4096, 2048, 16, 128, 4
 #: Nodes inserted at once, and the beam that finds their neighbours.
 INSERTED, EFFORT = 128, 64
+#: Tasks that search, query blocks that one of them holds, and shards that one task builds at most on average.
+TASKS, HELD, BUILT = 1000, 16, 32
 K = 5
 EMPTY = -(2**63)
 
@@ -211,11 +216,23 @@ def index(rows: DataFrame, scratch: Scratch, k: int, shard_rows: int = SHARD) ->
                 "nodes": [[raw(a.astype(np.int32)) for a, _ in g["layers"]]], "links": [[raw(f) for _, f in g["layers"]]]}
         return pa.table(cols, schema=pa.schema([("node", pa.binary()), ("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("entry", pa.int64()), ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(max(shards, 6), "dim", "shard")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(max(6, min(shards, TASKS), shards // BUILT), "dim", "shard")
     made = dealt.groupBy("dim", "shard").applyInArrow(make, "node binary, dim int, shard int, ids binary, vectors binary, entry long, nodes array<binary>, links array<binary>")
     return scratch.keep(made, "index"), shards
 
 
+@contextlib.contextmanager
+def one_row_batches(spark):
+    """A row holds a whole shard and a block of queries; a worker gets one at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def nearest(df: DataFrame, query, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, beam: int = BEAM, shard_rows: int = SHARD, block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for the rows that the condition `query` on vec_id picks."""
     spark = df.sparkSession
@@ -226,25 +243,26 @@ def nearest(df: DataFrame, query, vec_id: str = "vec_id", vector: str = "embeddi
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("dim", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("q"))
-    # Every block meets every shard: the stated query set against all rows.
-    sent = packed.select("dim", "block", "q.vec_id", "q.v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).withColumnRenamed("vec_id", "qid").withColumnRenamed("v", "qv")
+    packed = packed.select("dim", "block", F.col("q.vec_id").alias("qid"), F.col("q.v").alias("qv"))
 
     def work(batches):
+        shard, best = None, {}
         for b in batches:
             for r in b.to_pylist():
                 dim = r["dim"]
-                own = np.frombuffer(r["ids"], np.int64).reshape(-1, k + 1)
-                v = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
-                node = np.frombuffer(r["node"], np.int32)
-                by = np.argsort(node, kind="stable")
-                edge = np.searchsorted(node[by], np.arange(node.max() + 2))
-                x = unit(v[by[edge[:-1]]]).astype(np.float32)
-                links = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(f, np.int32).reshape(-1, 2 * LINKS)) for a, f in zip(r["nodes"], r["links"])]
+                if shard != (dim, r["shard"]):
+                    shard = (dim, r["shard"])
+                    own = np.frombuffer(r["ids"], np.int64).reshape(-1, k + 1)
+                    v = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
+                    node = np.frombuffer(r["node"], np.int32)
+                    by = np.argsort(node, kind="stable")
+                    edge = np.searchsorted(node[by], np.arange(node.max() + 2))
+                    x = unit(v[by[edge[:-1]]]).astype(np.float32)
+                    links = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(f, np.int32).reshape(-1, 2 * LINKS)) for a, f in zip(r["nodes"], r["links"])]
+                    vn = np.linalg.norm(v, axis=1)
                 q = np.array(r["qv"], np.float64)
                 found = search(x, {"layers": links, "entry": r["entry"]}, unit(q).astype(np.float32), beam)
                 qn = np.linalg.norm(q, axis=1)
-                vn = np.linalg.norm(v, axis=1)
-                out = [[], [], []]
                 for j, qid in enumerate(r["qid"]):
                     some = found[j][found[j] < len(x)]
                     at = np.concatenate([by[edge[n] : edge[n + 1]] for n in some.tolist()])
@@ -252,14 +270,19 @@ def nearest(df: DataFrame, query, vec_id: str = "vec_id", vector: str = "embeddi
                     s = np.repeat((v[at] * q[j]).sum(axis=1) / (vn[at] * qn[j]), k + 1)
                     ok = (ids != EMPTY) & (ids != qid)
                     ids, s = ids[ok], s[ok]
+                    if qid in best:
+                        ids, s = np.concatenate((best[qid][0], ids)), np.concatenate((best[qid][1], s))
                     o = np.lexsort((ids, -s))[:k]
-                    out[0] += [qid] * len(o)
-                    out[1] += ids[o].tolist()
-                    out[2] += s[o].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    pairs = shards_df.join(sent, ["dim", "shard"]).repartition(max(6, shards * blocks), "shard", "block")
-    got = scratch.keep(pairs.mapInArrow(work, "query_id long, vec_id long, score double"), "found")
+                    best[qid] = ids[o], s[o]
+        if best:
+            n = [len(ids) for ids, _ in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), n)), *(pa.array(np.concatenate([x[c] for x in best.values()])) for c in (0, 1))], ["query_id", "vec_id", "score"])
+
+    # Every block meets every shard: the stated query set against all rows. Neither is copied for the other.
+    held = -(-blocks // HELD)
+    pairs = shards_df.coalesce(min(shards, max(1, TASKS // held))).join(packed.repartition(held).hint("shuffle_replicate_nl"), "dim")
+    with one_row_batches(spark):
+        got = scratch.keep(pairs.mapInArrow(work, "query_id long, vec_id long, score double"), "found")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
