@@ -171,3 +171,22 @@ def test_pairs_at_the_limit_are_all_found(spark, frame):
     want = brute_keepers(rows)
     assert len(want) == 150
     assert sorted((r.doc_id for r in simhash.deduplicate(frame(rows)).collect()), key=repr) == want
+
+
+def test_near_copies_go_through_fingerprints_and_stars(spark, frame, monkeypatch):
+    rows = copies(random.Random(17), 40, (60, 400))
+    rows += [(5000 + k, t.replace(" ", "  ")) for k, t in rows[:10]]  # other texts, equal fingerprints
+    texts = spark.createDataFrame(rows, "id long, text string")
+    fp = {i: brute_fp(t) for i, t in rows}
+    fp = {i: f - (1 << 64) if f >> 63 else f for i, f in fp.items()}
+    lead = {f: min(i for i in fp if fp[i] == f) for f in fp.values()}
+    near = lambda f: [g for g in lead if g < f and bin((f ^ g) & (2**64 - 1)).count("1") <= 4]
+    apart = {(lead[min(near(f))], lead[f]) for f in lead if near(f)}
+    want = apart | {(lead[f], i) for i, f in fp.items() if i != lead[f]}
+    stars = simhash.stars
+    got = {tuple(r) for r in stars(texts, Scratch(spark, "test")).collect()}
+    assert got == want and len(apart) >= 10
+    met = []
+    monkeypatch.setattr(simhash, "stars", lambda *a: met.append(stars(*a)) or met[-1])
+    assert sorted((r.doc_id for r in simhash.deduplicate(frame(rows)).collect()), key=repr) == brute_keepers(rows)
+    assert len(met) == 1

@@ -1,11 +1,13 @@
 """Near-duplicates by SimHash with multi-index hashing.
 
 `group` links fingerprints by their distance alone. `similar` links texts whose shingle sets
-have a Jaccard similarity of at least 0.8, and misses none: of two such sets each has a fifth
-of its shingles, the rarest in one common order, of which one at least is in both. Texts that
-share one are a bucket. Each member first meets the bucket's leader; what that links is one
-component, and only members of different components meet after that, so a group of copies
-costs its rows and not its pairs. Whoever meets is compared by whole sets.
+have a Jaccard similarity of at least 0.8, and misses none. First each fingerprint meets the
+least one within the same distance, by the same tables; the stars that whole sets confirm are
+contracted. What the distance can't reach is found exactly after that: of two such sets each has
+a fifth of its shingles, the rarest in one common order, of which one at least is in both. Texts
+of different components that share one are a bucket. Each member first meets the bucket's leader;
+what that links is one component, and only members of different components meet after that, so
+a group of copies costs its rows and not its pairs. Whoever meets is compared by whole sets.
 
 Null and empty texts have the fingerprint zero and are linked like any other; a text of
 any length is read whole; equal fingerprints or texts are one node, so copies and repeated rows
@@ -160,6 +162,20 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     return fps.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fp", "component_id")
 
 
+def stars(texts: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) of ids of (id, text): each fingerprint's least text with its others, and with that of
+    the least fingerprint in reach, if that is lesser. So many pairs as texts at most."""
+    fps = scratch.keep(fingerprints(texts, "id", "text"), "fps")
+    nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("lead")), "leads")
+    centre = links(nodes.select("fp"), distance).groupBy("b").agg(F.min("a").alias("a"))
+    lead = lambda c: nodes.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}"))
+    apart = centre.join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    equal = fps.join(nodes, "fp").where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    out = scratch.keep(apart.union(equal), "stars")
+    scratch.drop("fps", "leads")
+    return out
+
+
 class Names(dict):
     """64-bit names of words; the memory for them is bounded."""
 
@@ -313,6 +329,7 @@ def _reachable(n: str, r: str, m: str, q: str, similarity: float):
 def _classes(texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) of the texts (k1, k2, id, text) that are like some other."""
     whole = texts.select("id", "text")
+    star = stars(whole, scratch)
     rare = scratch.keep(_rarest(whole, words, similarity, _often(whole, words)), "rare")
     scratch.drop()
     twice = scratch.keep(rare.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "twice")
@@ -338,6 +355,9 @@ def _classes(texts: DataFrame, words: int, similarity: float, scratch: Scratch)
         edges, compared = (good, new) if edges is None else (edges.union(good), compared.union(new))
         return not good.isEmpty()
 
+    if compare(star, "stars"):
+        contracted = scratch.keep(components(edges, scratch, "edges-stars"), "contracted")
+        rows = scratch.keep(rows.join(contracted, F.col("id") == F.col("node"), "left").withColumn("to", F.coalesce("root", "to")).drop("node", "root"), "starred")
     while True:
         # Of each bucket: its leader, the component that most of its rows belong to, and how many don't.
         part = rows.groupBy("h", "to").agg(F.count("*").alias("m"), F.max_by(F.struct("id", "n", "r", "to", "w"), F.struct("w", "id")).alias("x"))
@@ -359,7 +379,7 @@ def _classes(texts: DataFrame, words: int, similarity: float, scratch: Scratch)
         if found:
             rows = rows.join(joined, F.col("id") == F.col("node"), "left").withColumn("to", F.coalesce("root", "to")).drop("node", "root")
         rows, k = scratch.keep(rows, f"rows-{k}"), k + 1
-    scratch.drop("asked", "met", "weighed", "side", *[f"{x}-{i}" for i in range(k) for x in ("rows", "buckets", "joined")])
+    scratch.drop("asked", "met", "weighed", "side", "stars", "contracted", "starred", *[f"{x}-{i}" for i in range(k) for x in ("rows", "buckets", "joined")])
     if edges is None:
         return texts.sparkSession.createDataFrame([], "node long, root long")
     return components(edges, scratch, "classes")
