@@ -1,12 +1,14 @@
 """The lookups of every id, against brute force."""
 
+import bisect
 import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from tidelog.operators import bloom
+from tidelog.operators import bloom, runs as R
 
 N = 2300
 
@@ -85,3 +87,42 @@ def test_filters(spark, small):
     each = [tuple(r) for r in bloom.probe(*bloom.build(rows), rows, probes).collect()]
     assert len(each) == len(runs()) * N and not [x for x in each if x[3] and not x[2]]
     assert {(r, sum(x[2] for x in each if x[0] == r), sum(x[3] for x in each if x[0] == r)) for r in runs()} == {(r, c, h) for r, _, c, h, _ in want}
+
+
+def shuffled(df):
+    """The rows of each shuffle of a query that has run, and the partitions that its last step has."""
+    out, plan = [], df._jdf.queryExecution().executedPlan()
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else [p.children().apply(i) for i in range(p.children().size())]
+        if name == "Exchange":
+            out.append(p.metrics().apply("shuffleRecordsWritten").value())
+    return out
+
+
+def test_lower_bound_shuffles_no_row_of_probe_and_run(spark, small):
+    df = e.queries()["run_index_lower_bound"](spark, small)
+    assert len(df.collect()) == N * len(runs())
+    assert max(shuffled(df)) <= N
+
+
+def test_lower_bound_of_any_keys(spark):
+    """Null and empty probes, runs of one block, and lists and indexes longer than a list of probes."""
+    keys = [None, "", "a", "a\0", "ä", "\U0001f600", *(f"k{i:05d}" for i in range(0, 12_000, 2))]
+    index = {0: ["a"], 1: ["k05001"], 2: [f"k{i:05d}" for i in range(1, 12_000, 3)], 3: ["\uffff"], 4: ["", "ä"]}
+    entries = [(r, k, 10 * i) for r, ks in index.items() for i, k in enumerate(ks)]
+    got = R.lower_bound(spark.createDataFrame(entries, "run_id long, last_key string, block_offset long"), spark.createDataFrame([(k,) for k in keys], "key string").repartition(1)).collect()
+    want = set()
+    for r, ks in index.items():
+        raw = [k.encode() for k in ks]
+        for k in keys:
+            i = len(ks) if k is None else bisect.bisect_left(raw, k.encode())
+            want.add((r, k, *((ks[i], 10 * i) if i < len(ks) else (None, None))))
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_probes_are_spread(spark, small):
+    keys = bloom.spread(e.catalogue._probes(spark, small))
+    assert keys.select(F.spark_partition_id().alias("p")).distinct().count() == 4
