@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,44 @@ def test_lower_bound_of_any_keys(spark):
 def test_probes_are_spread(spark, small):
     keys = bloom.spread(e.catalogue._probes(spark, small))
     assert keys.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_filters_side_by_side(spark):
+    """Runs of one and of several sizes, more than one word and one block of them, against bit by bit; a null probe passes nothing."""
+    held = {r: [f"r{r}k{i}" for i in range(3 + (r % 3 == 0) * 40)] for r in range(150)}
+    rows = spark.createDataFrame([(r, k) for r, ks in held.items() for k in ks], "run_id long, key string")
+    probes = [f"r{r}k{i}" for r in range(0, 150, 7) for i in range(3)] + [f"x{i}" for i in range(700)]
+    params, bits = bloom.build(rows)
+    of = {r.run_id: (r.m, r.k) for r in params.collect()}
+    bit = {r: set() for r in held}
+    for r in bits.collect():
+        bit[r.run_id].add(r.bit)
+
+    def passes(r, key):
+        h, (m, k) = hashlib.md5(key.encode()).hexdigest(), of[r]
+        return all((int(h[:12], 16) + i * int(h[12:24], 16)) % m in bit[r] for i in range(k))
+
+    want = {(r, len(probes) + 1, c := sum(passes(r, x) for x in probes), h := len(set(held[r]) & set(probes)), c - h) for r in held}
+    df = bloom.false_positives(params, bits, rows, spark.createDataFrame([(k,) for k in [*probes, None]], "key string"))
+    assert {tuple(r) for r in df.collect()} == want
+    assert len({m for m, _ in of.values()}) == 2
+
+
+def test_filter_probes_make_no_row_of_probe_and_run(spark, small):
+    df = e.queries()["bloom_probe"](spark, small)
+    assert len(df.collect()) == len(runs())
+    todo, plans = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        plans.append(p)
+        todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+    made = [p.metrics().apply("numOutputRows").value() for p in plans if p.nodeName() == "CartesianProduct"]
+    assert made and max(made) < N
+
+
+@pytest.mark.parametrize("rows, bits", [(1, 1), (16, 8), (17, 64), (1001, 130)])
+def test_column_sums(rows, bits):
+    given = np.random.default_rng(rows).integers(0, 2, (rows, bits), np.uint8)
+    packed = np.packbits(given, axis=1, bitorder="little")
+    packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("u8")
+    assert bloom.column_sums(packed)[:bits].tolist() == given.sum(0).tolist()

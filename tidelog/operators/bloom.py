@@ -2,12 +2,16 @@
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidelog.functions import hash_slices
 
 LN2 = math.log(2)
 UNROLLED = 8
+SIDE_BY_SIDE, BLOCK_BITS = 1024, 1 << 24  # filters in one block, and about the bits of a block
+BLOCK_PARTS = 4  # partitions of blocks that each partition of probes meets
 
 
 def with_params(df: DataFrame, fp: float = 0.01) -> DataFrame:
@@ -76,13 +80,96 @@ def probe(params: DataFrame, bits: DataFrame, rows: DataFrame, probes: DataFrame
     return _asked(params, bits, spread(probes)).join(there, ["run_id", "key"], "left").select("run_id", "key", "candidate", F.coalesce("there", F.lit(False)).alias("present"))
 
 
+def turned(words: np.ndarray, m: int) -> np.ndarray:
+    """Filters of one size, a row of 32-bit words each, as a row for each bit with a bit for each filter.
+
+    Rows are padded to whole machine words of 1, 2, 4 or 8 bytes."""
+    bits = np.unpackbits(np.ascontiguousarray(words, "<u4").view(np.uint8), axis=1, bitorder="little")[:, :m]
+    rows = np.packbits(bits.T, axis=1, bitorder="little")
+    width = rows.shape[1]
+    wide = next((w for w in (1, 2, 4) if width <= w), -(-width // 8) * 8)
+    return np.pad(rows, ((0, 0), (0, wide - width)))
+
+
+def column_sums(rows: np.ndarray) -> np.ndarray:
+    """How often each bit is set over all rows of words: halves are added as binary numbers, one word for all of its bits at a time."""
+    planes = [rows]
+    while len(planes[0]) > 16:
+        half = -(-len(planes[0]) // 2)
+        lo, hi = [p[:half] for p in planes], [np.pad(p[half:], ((0, 2 * half - len(p)), (0, 0))) for p in planes]
+        carry, planes = np.zeros_like(lo[0]), []
+        for x, y in zip(lo, hi):
+            odd = x ^ y
+            planes.append(odd ^ carry)
+            carry = (x & y) | (odd & carry)
+        planes.append(carry)
+    return sum(np.unpackbits(np.ascontiguousarray(p).view(np.uint8), axis=1, bitorder="little").sum(0, np.int64) << i for i, p in enumerate(planes))
+
+
+def passing(rows: np.ndarray, k: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """How many of the hashed keys each filter of a block lets pass."""
+    m, width = rows.shape
+    words = np.ascontiguousarray(rows).view({1: "u1", 2: "u2", 4: "u4"}.get(width, "u8"))
+    at, step = h1 % m, h2 % m
+    held = words.take(at, axis=0)
+    for _ in range(k - 1):
+        at += step
+        at -= m * (at >= m)
+        held &= words.take(at, axis=0)
+    return column_sums(held)
+
+
+def _blocks(params: DataFrame, bits: DataFrame) -> DataFrame:
+    """Filters of one size side by side, at most SIDE_BY_SIDE in a block."""
+
+    def turn(batches):
+        for batch in batches:
+            for m, k, held in zip(batch["m"], batch["k"], batch["held"]):
+                run, words = held.values.flatten()
+                rows = turned(words.flatten().to_numpy().reshape(len(run), -1), m.as_py())
+                yield pa.RecordBatch.from_pydict({"m": [m.as_py()], "k": [k.as_py()], "runs": [run.to_pylist()], "rows": [rows.tobytes()]})
+
+    most = F.greatest(F.lit(8), F.least(F.lit(SIDE_BY_SIDE), F.expr(f"{BLOCK_BITS} div m")))
+    place = F.row_number().over(W.partitionBy("m", "k").orderBy("run_id")) - 1
+    placed = params.withColumn("most", most).withColumn("place", place).withColumn("block", F.expr("place div most")).drop("most", "place")
+    held = packed(placed, bits).groupBy("m", "k", "block").agg(F.collect_list(F.struct("run_id", "words")).alias("held"))
+    return held.select("m", "k", "held").mapInArrow(turn, "m long, k long, runs array<long>, rows binary")
+
+
+def _passed(params: DataFrame, bits: DataFrame, keys: DataFrame) -> DataFrame:
+    """(run_id, probes, candidates): how many keys each run's filter is asked for and lets pass.
+
+    Keys are hashed once and come in lists of an Arrow batch; each list meets each block of
+    filters in pairs of partitions, and a key's bit of all filters of a block is read at once.
+    A task holds one batch of pairs and its part of the blocks, and only sums are shuffled."""
+    h1, h2 = hash_slices(F.col("key"))
+
+    def listed(batches):
+        for batch in batches:
+            known = batch.filter(batch["h1"].is_valid())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "h1": [known["h1"].to_numpy()], "h2": [known["h2"].to_numpy()]}, pa.schema([("n", pa.int64()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))]))
+
+    def count(batches):
+        for batch in batches:
+            for n, a, b, m, k, runs, rows in zip(*(batch[c] for c in ("n", "h1", "h2", "m", "k", "runs", "rows"))):
+                table = np.frombuffer(rows.as_buffer(), np.uint8).reshape(m.as_py(), -1)
+                run = runs.values
+                found = passing(table, k.as_py(), a.values.to_numpy(), b.values.to_numpy())[: len(run)]
+                yield pa.RecordBatch.from_arrays([run, pa.array(np.full(len(run), n.as_py())), pa.array(found)], ["run_id", "probes", "candidates"])
+
+    lists = keys.select(h1.alias("h1"), h2.alias("h2")).mapInArrow(listed, "n long, h1 array<long>, h2 array<long>")
+    pairs = lists.hint("shuffle_replicate_nl").join(_blocks(params, bits).repartition(BLOCK_PARTS))
+    each = pairs.mapInArrow(count, "run_id long, probes long, candidates long")
+    return each.groupBy("run_id").agg(F.sum("probes").alias("probes"), F.sum("candidates").alias("candidates"))
+
+
 def false_positives(params: DataFrame, bits: DataFrame, rows: DataFrame, probes: DataFrame) -> DataFrame:
     """Per run what `probe` would count up to: probes, candidates, hits and false positives.
 
-    Each task adds up its own probes, so no row of probe and run is shuffled; hits come from
-    the runs' own keys that are asked for."""
+    Filters of one size are probed side by side, and no row of probe and run is made; hits come
+    from the runs' own keys that are asked for."""
     keys = spread(probes)
-    all_ = _asked(params, bits, keys).groupBy("run_id").agg(F.count("*").alias("probes"), F.count(F.when(F.col("candidate"), 1)).alias("candidates"))
+    all_ = _passed(params, bits, keys)
     there = rows.select("run_id", "key").distinct().join(keys, "key", "left_semi")
     hits = _asked(params, bits, there).where("candidate").groupBy("run_id").agg(F.count("*").alias("hits"))
     found = F.coalesce("hits", F.lit(0).cast("long"))
